@@ -36,44 +36,62 @@ THRESHOLD = 0.7
 #: Longer words are scored by windows of this many characters at half their distance.
 WINDOW = 24
 #: Word scores below this are all alike.
-FLOOR = -0.5
-_SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){2,}")
+FLOOR = -0.25
+#: Subsequences span at most so many characters.
+SPAN = 6
+_MARKS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _SIZE = 64**3
 
 
 def clean_word(raw: str) -> str:
     """Letters and digits of a lower-cased token."""
-    return raw if raw.isalpha() else "".join(c for c in raw if c.isalnum())
+    if raw.isalpha():
+        return raw
+    out = raw.translate(_MARKS)
+    return out if not out or out.isalnum() else "".join(c for c in out if c.isalnum())
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-cased tokens of a text; letters that stand alone in a row also as one word."""
-    low = (text or "").lower()
-    found = set(low.split())
+    """Distinct lower-cased tokens of a text; three or more letters that stand alone in a row also as one word."""
+    listed = (text or "").lower().split()
+    found = set(listed)
     if sum(len(x) == 1 for x in found) > 1:
-        found.update("".join(c for c in m[0] if c.isalnum()) for m in _SPACED.finditer(low))
+        run = ""
+        for x in [*map(clean_word, listed), "  "] if len(found) < len(listed) or len(listed) > 2 else ():
+            if len(x) == 1:
+                run += x
+            elif x:
+                if len(run) > 2:
+                    found.add(run)
+                run = ""
     return found
 
 
-def codes(word: str) -> np.ndarray:
-    """Characters as 0 to 63, between marks of the beginning and end."""
-    out = [62]
-    for c in word:
-        k = ord(c)
-        out.append(k - 97 if 97 <= k <= 122 else 26 + k - 48 if 48 <= k <= 57 else 36 + k % 26)
-    return np.array([*out, 63], np.int32)
+#: Characters as 0 to 61; words stand between the marks 62 and 63.
+_CODE = np.arange(1 << 16, dtype=np.int32) % 26 + 36
+_CODE[97:123] = np.arange(26)
+_CODE[48:58] = np.arange(26, 36)
+
+
+def code_matrix(words: list[str], n: int) -> np.ndarray:
+    """Codes of words of n characters, a row each."""
+    raw = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).reshape(len(words), n)
+    out = np.empty((len(words), n + 2), np.int32)
+    out[:, 0], out[:, -1] = 62, 63
+    out[:, 1:-1] = _CODE[raw & 0xFFFF]
+    return out
 
 
 @functools.lru_cache(maxsize=64)
 def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j < k below n, and the weight of each."""
-    at = np.array(list(itertools.combinations(range(n), 3)), np.int32).reshape(-1, 3)
+    """All i < j < k below n with k - i < SPAN, and the weight of each."""
+    at = np.array([(i, i + j, i + k) for i in range(n) for j, k in itertools.combinations(range(1, SPAN), 2) if i + k < n], np.int32).reshape(-1, 3)
     return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
 def features(word: str) -> dict[int, float]:
     """Weights of the subsequences of a word, normalised to length one."""
-    c = codes(word)
+    c = code_matrix([word], len(word))[0]
     at, w = places(len(c))
     out: dict[int, float] = Counter()
     for key, x in zip(((c[at[:, 0]] * 64 + c[at[:, 1]]) * 64 + c[at[:, 2]]).tolist(), w.tolist()):
@@ -89,6 +107,7 @@ def parts(word: str) -> list[str]:
 def word_scores(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """max(FLOOR, decision value) of each cleaned word."""
     out = np.full(len(words), FLOOR)
+    small = table.astype(np.float32)
     by: dict[int, list[tuple[int, str]]] = {}
     for i, w in enumerate(words):
         if w:
@@ -97,12 +116,15 @@ def word_scores(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     for n, group in by.items():
         at, weight = places(n + 2)
         least = math.sqrt(float((weight**2).sum()))  # repeated subsequences only make a word longer
-        step = max(1, 2_000_000 // len(at))
+        step = max(1, 1_000_000 // len(at))
         for s in range(0, len(group), step):
             some = group[s : s + step]
-            m = np.stack([codes(p) for _, p in some])
-            key = (m[:, at[:, 0]] * 64 + m[:, at[:, 1]]) * 64 + m[:, at[:, 2]]
-            most = table[key] @ weight / least + bias
+            m = code_matrix([p for _, p in some], n)
+            most = np.full(len(some), bias)
+            total = np.zeros(len(some))
+            for i, j, k, w in zip(at[:, 0], at[:, 1], at[:, 2], weight / least):
+                total += small[(m[:, i] * 64 + m[:, j]) * 64 + m[:, k]] * w
+            most += total
             for k in np.flatnonzero(most > FLOOR):
                 i, p = some[k]
                 out[i] = max(out[i], sum(x * table[u] for u, x in features(p).items()) + bias)
