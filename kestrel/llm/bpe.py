@@ -29,13 +29,19 @@ AGREE = 2
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
+def parallel(on: bool) -> None:
+    """Whether the library spreads a batch over threads: a task has one core, so only leaves of a long piece are."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str = VOCABULARY, leaf: int = LEAF):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import Tokenizer
 
+        parallel(False)
+
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -101,7 +107,9 @@ class Codec:
     def tree(self, piece: str) -> list[int]:
         """One long piece, in the vocabulary's characters: parallel leaves, then joins by pairs."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
+        parallel(True)
         level = [e.ids for e in self.bare.encode_batch_fast(leaves, add_special_tokens=False)]
+        parallel(False)
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
