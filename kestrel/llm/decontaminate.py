@@ -152,37 +152,61 @@ class Codes(dict):
         return code
 
 
+def passes(benchmark: DataFrame, min_match: int, per_pass: int) -> Iterator[Benchmark]:
+    """The benchmark in blocks of about `per_pass` items."""
+    n = max(1, -(-benchmark.count() // per_pass))
+    for b in range(n):
+        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).select("item_id", "text").collect()
+        yield Benchmark([(r["item_id"], r["text"]) for r in rows], min_match)
+
+
+def found_in(text: str | None, block: Benchmark, look: Codes, coverage: float) -> list[tuple]:
+    """(item_id, coverage, tiles, words) of the items that reach the coverage in a text."""
+    if not text:
+        return []
+    w = text.split()
+    codes = np.fromiter(map(look.__getitem__, w), np.int64, len(w))
+    return [(block.ids[k], c, n, m) for k, c, n, m in block.matches(codes[codes >= 0]) if c >= coverage]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, matched_words for each pair that reaches the coverage.
 
     Items shorter than `min_match` words must occur whole. Null and empty texts or items match
     nothing; repeated rows give a row each. The benchmark is read in passes of about `per_pass` items.
     """
-    passes = max(1, -(-benchmark.count() // per_pass))
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
-    for b in range(passes):
-        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == b).select("item_id", "text").collect()
-        block = Benchmark([(r["item_id"], r["text"]) for r in rows], min_match)
+    for block in passes(benchmark, min_match, per_pass):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             look = Codes(block.vocab)
             for batch in batches:
-                ids, found = batch.column(0), []
-                for r, text in enumerate(batch.column(1).to_pylist()):
-                    if text:
-                        w = text.split()
-                        codes = np.fromiter(map(look.__getitem__, w), np.int64, len(w))
-                        found += [(r, block.ids[k], c, n, m) for k, c, n, m in block.matches(codes[codes >= 0]) if c >= coverage]
+                found = [(r, *x) for r, text in enumerate(batch.column(1).to_pylist()) for x in found_in(text, block, look, coverage)]
                 if found:
                     r, k, c, n, m = zip(*found)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(k), pa.array(c), pa.array(n), pa.array(m)], names=["doc_id", "item_id", "coverage", "n_tiles", "matched_words"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array(k), pa.array(c), pa.array(n), pa.array(m)], names=["doc_id", "item_id", "coverage", "n_tiles", "matched_words"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles long, matched_words long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows in which no item reaches the coverage, with all their columns: one map over the texts for each pass."""
+    columns = list(docs.columns)
+    at = columns.index("text")
+    for block in passes(benchmark, min_match, per_pass):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            look = Codes(block.vocab)
+            for batch in batches:
+                yield batch.filter(pa.array([not found_in(t, block, look, coverage) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with each item's coverage."""
     common.small_batches(spark)
@@ -192,8 +216,4 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no benchmark item reaches the coverage."""
     common.small_batches(spark)
-    columns = list(docs.columns)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = scan(rows.select(F.col("__row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    leaks, _ = common.written(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
-    return rows.join(leaks, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return clean(docs, common.table(spark, sf_dir, "benchmark"))

@@ -203,4 +203,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     kept, _ = common.written(winners, "winners")
+    kept = kept.hint("merge")  # as many rows as documents: never broadcast
     return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
