@@ -71,3 +71,12 @@ def chance(key: Column, salt: int = 0) -> Column:
 
 def arrow(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def masked(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns under the names c0, c1, ..., and `needed` ones again under their own, so that added names cannot clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *needed)
+
+
+def unmasked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

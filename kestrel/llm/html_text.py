@@ -103,10 +103,10 @@ def parse(text: str) -> Dom:
     at, end = 0, len(text)
     while at < end:
         m = TOKEN.match(text, at)
-        if m is None:  # a tag that never closes
-            break
         at = m.end()
         if m[4]:
+            if m[4] == "<" and (text[at : at + 1].isalpha() or text[at : at + 1] == "/"):
+                break  # a tag that the page ends in
             if not dropped:
                 run.append(m[4])
                 linked += len(m[4]) if links else 0

@@ -156,5 +156,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose main language is determined and holds at least MIN_SHARE of the text."""
     common.small_batches(spark)
     model = fit(docs.filter(common.learns(F.col("doc_id"), 3, 1)))
-    kept = predict(docs, model).filter(F.col("lang_pred") != UNDETERMINED).filter(F.col("score") >= MIN_SHARE)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = predict(common.masked(docs, "text"), model).filter(F.col("lang_pred") != UNDETERMINED).filter(F.col("score") >= MIN_SHARE)
+    return common.unmasked(kept, docs.columns)

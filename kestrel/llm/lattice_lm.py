@@ -149,7 +149,7 @@ class Lattice:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural log of the gamma function for x >= 1, by Stirling's series at x + 8."""
     y = x + 8.0
-    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - 691 / (360360 * y**11)
     for k in range(8):
         out = out - np.log(x + k)
     return out

@@ -195,13 +195,13 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that with the least doc_id (one row of it if it repeats)."""
     common.small_batches(spark)
-    columns = list(docs.columns)
-    rows, _ = common.written(fingerprints(docs, columns).withColumn("__row", F.monotonically_increasing_id()), "stage3")
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    keep = [*[f"c{i}" for i in range(len(docs.columns))], "doc_id"]
+    rows, _ = common.written(fingerprints(common.masked(docs, "doc_id", "text"), keep).withColumn("row", F.monotonically_increasing_id()), "stage3")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     distinct, _ = common.written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     found = groups(distinct.select("fp"))
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept, _ = common.written(winners, "winners")
     kept = kept.hint("merge")  # as many rows as documents: never broadcast
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return common.unmasked(rows.join(kept, "row", "left_semi"), docs.columns)

@@ -328,7 +328,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic."""
     common.small_batches(spark)
     model = fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    columns = [c for c in docs.columns]
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text"))
-    kept = predict(marked, model, [f"c{i}" for i in range(len(columns))]).filter("predicted = 0")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    kept = predict(common.masked(docs, "text"), model, [f"c{i}" for i in range(len(docs.columns))]).filter("predicted = 0")
+    return common.unmasked(kept, docs.columns)
