@@ -292,3 +292,12 @@ def test_language_mixture():
     prob = (freq + 0.5) / (freq + 0.5).sum(axis=1, keepdims=True)
     w = langid.proportions(*langid.bag(en[:800] + de[:800]), prob)
     assert abs(w[0] - 0.5) < 0.1 and langid.proportions(*langid.bag(en), prob)[0] == 1.0
+
+
+def test_rank_encoder_is_the_library():
+    own, rng = bpe.codec(bpe.VOCABULARY), random.Random(9)
+    assert own.ranks is not None
+    letters = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]]
+    for _ in range(1500):
+        t = "".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice(" 's'll\n\n  ab1") for _ in range(rng.randint(0, 60)))
+        assert own.ranks.encode_ordinary(t) == own.whole.encode(t, add_special_tokens=False).ids
