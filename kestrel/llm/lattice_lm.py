@@ -56,13 +56,19 @@ def _norm(logs: dict[str, float], mass: float = 1.0) -> dict[str, float]:
     return {k: v - total for k, v in logs.items()}
 
 
+def _walk(table: dict[str, float]) -> dict[str, float | None]:
+    """All beginnings of pieces, with the log probability of those that are pieces."""
+    out: dict[str, float | None] = {p[:k]: None for p in table for k in range(1, len(p))}
+    out.update(table)
+    return out
+
+
 class Lattice:
     """Log probabilities of first pieces, later pieces and the stop after a word's last piece."""
 
     def __init__(self, first: dict[str, float], later: dict[str, float], stop: float):
         self.first, self.later, self.stop = first, later, stop
-        self.begin = {p[:k] for p in first for k in range(1, len(p))}
-        self.inner = {p[:k] for p in later for k in range(1, len(p))}
+        self.walk_first, self.walk_later = _walk(first), _walk(later)
 
     @classmethod
     def existing(cls, pieces: dict[str, float]) -> Lattice:
@@ -86,17 +92,17 @@ class Lattice:
         """For each place: (next place, log probability, piece or pieces)."""
         out, n = [], len(s)
         for i in range(n):
-            table, prefixes = (self.later, self.inner) if i else (self.first, self.begin)
+            table = self.walk_later if i else self.walk_first
             here, j = [], i + 1
             while j <= n:
                 part = s[i:j]
-                lp = table.get(part)
+                lp = table.get(part, 1.0)
                 if lp is not None:
+                    if lp > 0.0:  # no piece begins so
+                        break
                     here.append((j, lp, part))
-                if part not in prefixes:
-                    break
                 j += 1
-            if i and s[i] not in table:
+            if i and table.get(s[i]) is None:
                 spelled = [f"<0x{b:02X}>" for b in s[i].encode("utf-8", "replace")]
                 here.append((i + 1, sum(self.later[b] for b in spelled), spelled))
             out.append(here)
@@ -121,29 +127,53 @@ class Lattice:
         return alpha
 
     def log_prob(self, word: str) -> float:
-        """Natural log of the marginal probability of a word."""
-        return self.forward(self.arcs(START + word))[-1] + self.stop
+        """Natural log of the marginal probability of a word: the forward recursion without keeping the arcs."""
+        s = START + word
+        n, exp, log1p = len(s), math.exp, math.log1p
+        alpha: list[float | None] = [None] * (n + 1)
+        alpha[0] = 0.0
+        get = self.walk_first.get
+        for i in range(n):
+            a = alpha[i]
+            if i == 1:
+                get = self.walk_later.get
+            if a is None:
+                continue
+            if i and get(s[i]) is None:
+                arcs = [(i + 1, sum(self.later[f"<0x{b:02X}>"] for b in s[i].encode("utf-8", "replace")))]
+            else:
+                arcs = []
+            j = i + 1
+            while j <= n:
+                lp = get(s[i:j], 1.0)
+                if lp is not None:
+                    if lp > 0.0:
+                        break
+                    arcs.append((j, lp))
+                j += 1
+            for j, lp in arcs:
+                x, y = a + lp, alpha[j]
+                alpha[j] = x if y is None else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+        return alpha[n] + self.stop
 
     def expected(self, word: str, counts: dict) -> None:
         """Adds the expected counts of the pieces of one word."""
         arcs = self.arcs(START + word)
         alpha, n = self.forward(arcs), len(arcs)
-        beta = [-math.inf] * n + [0.0]
-        exp, log1p = math.exp, math.log1p
+        beta = [0.0] * (n + 1)  # relative to the whole: exp(alpha + lp + beta) is the mass of an arc
+        exp, total, none = math.exp, alpha[n], -math.inf
+        beta[n] = -total
         for i in range(n - 1, -1, -1):
-            b = -math.inf
-            for j, lp, _ in arcs[i]:
-                x = lp + beta[j]
-                b = x if b == -math.inf else x + log1p(exp(b - x)) if x > b else b + log1p(exp(x - b))
-            beta[i] = b
-        total = alpha[n]
-        for i, here in enumerate(arcs):
-            a = alpha[i] - total
-            for j, lp, piece in here:
-                w = a + lp + beta[j]
-                if w > -20:
-                    for p in [piece] if isinstance(piece, str) else piece:
-                        counts[i > 0, p] += exp(w)
+            a, mass = alpha[i], 0.0
+            if a == none:
+                continue
+            for j, lp, piece in arcs[i]:
+                w = exp(a + lp + beta[j])
+                mass += w
+                if w > 1e-9:
+                    for p in (piece,) if isinstance(piece, str) else piece:
+                        counts[i > 0, p] += w
+            beta[i] = math.log(mass) - a if mass > 0.0 else none
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
