@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,6 +127,57 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank
 
 
+def betweenness(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, rank): betweenness from the given sources, weights as distances; for graphs of bounded size, whose pairs go to all tasks."""
+    near: dict = {}
+    for r in pairs.select("a", "b", "weight").collect():
+        near.setdefault(r["a"], []).append((r["b"], r["weight"]))
+        near.setdefault(r["b"], []).append((r["a"], r["weight"]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = dict.fromkeys(near, 0.0)
+        for batch in batches:
+            for s in batch["node"]:
+                dist, paths, before, done, heap = {s: 0.0}, {s: 1.0}, {s: []}, [], [(0.0, 0, s)]
+                seen, order = set(), 0
+                while heap:
+                    d, _, v = heapq.heappop(heap)
+                    if v in seen:
+                        continue
+                    seen.add(v)
+                    done.append(v)
+                    for w, x in near[v]:
+                        new = d + x
+                        if w not in dist or new < dist[w] - 1e-12:
+                            dist[w], paths[w], before[w] = new, paths[v], [v]
+                            order += 1
+                            heapq.heappush(heap, (new, order, w))
+                        elif w not in seen and abs(new - dist[w]) <= 1e-12:
+                            paths[w] += paths[v]
+                            before[w].append(v)
+                part = dict.fromkeys(done, 0.0)
+                for w in reversed(done):
+                    for v in before[w]:
+                        part[v] += paths[v] / paths[w] * (1 + part[w])
+                    if w != s:
+                        score[w] += part[w] / 2
+        yield pd.DataFrame({"node": list(score), "rank": list(score.values())})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return sources.select("node").mapInPandas(run, f"node {kind}, rank double").groupBy("node").agg(F.sum("rank").alias("rank"))
+
+
+def importance(pairs: DataFrame, exact: int = 250, sampled: int = 1000, k: int = 50) -> DataFrame:
+    """(node, rank): betweenness of small graphs, from `k` sources of middle ones, PageRank of others."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    n = nodes.count()
+    if n <= exact:
+        return betweenness(pairs, nodes)
+    if n <= sampled:
+        return betweenness(pairs, nodes.orderBy(F.xxhash64("node"), "node").limit(k))
+    return pagerank(pairs)
+
+
 def pairs_both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
 

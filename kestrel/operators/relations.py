@@ -106,6 +106,17 @@ def match_ends(names: DataFrame, catalog: DataFrame, cutoff: float = 0.92) -> Da
     return hit.select("name", "canonical", "how").unionByName(best.select("name", "canonical", "how")).unionByName(new)
 
 
+def merge_catalog(catalog: DataFrame) -> DataFrame:
+    """(label, canonical, ord, aliases): entries (ord, canonical, label) of a label with the same direction of hash embedding as one, the first as base.
+
+    Legal references merge only if equal. At cosine thresholds of 0.985 and names of up to 32 words,
+    embeddings that add a cell per word agree exactly if the bags of words do, so no pairs are compared.
+    """
+    norm = T.normalize_surface(F.col("canonical"))
+    key = F.when(T.is_legal_id(F.col("canonical")), F.array(norm)).otherwise(F.array_sort(F.split(norm, " ")))
+    return catalog.groupBy("label", key.alias("key")).agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"), F.array_sort(F.collect_set("canonical")).alias("aliases")).drop("key")
+
+
 def evidence_sentence(relations: DataFrame, sentences: DataFrame) -> DataFrame:
     """The relations with sent_id: the first sentence of the document that holds the evidence, else its first sentence."""
     s = sentences.select("doc_id", "idx", "sent_id", F.lower("text").alias("low"))

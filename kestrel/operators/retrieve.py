@@ -45,6 +45,13 @@ def entity_items(catalog: DataFrame) -> DataFrame:
     return catalog.select("id", text.alias("text"), F.lit("ENTITY").alias("item_type"))
 
 
+def community_items(comms: DataFrame) -> DataFrame:
+    """COMMUNITY, COMMUNITY_MICRO and COMMUNITY_BULLETS items from (id, summary, micro_summary, bullets); empty ones are left out."""
+    kinds = [("COMMUNITY", "", F.coalesce("summary", "micro_summary")), ("COMMUNITY_MICRO", "::micro", F.col("micro_summary")), ("COMMUNITY_BULLETS", "::bullets", F.array_join("bullets", " | "))]
+    every = F.array(*[F.struct(F.concat("id", F.lit(end)).alias("id"), text.alias("text"), F.lit(kind).alias("item_type")) for kind, end, text in kinds])
+    return comms.select(F.explode(every).alias("i")).select("i.*").filter("text <> ''")
+
+
 def relation_items(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """RELATION items of semantic edges between entities: 'source TYPE target.' and the evidence."""
     of = lambda c, n: nodes.filter(F.col("label").isin("ENTITY", "DOMAIN")).select(F.col("id").alias(c), F.col("canonical").alias(n))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str = "step") -> DataFrame:
-    spark = df.sparkSession
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; an own temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kestrel-")
+        own = tempfile.mkdtemp(prefix="kestrel-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/kestrel-graph/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kestrel-graph/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str = "step") -> DataFrame:
+    spark, path = df.sparkSession, folder(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

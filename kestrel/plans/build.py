@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import rules
 from kestrel.functions import text as T
-from kestrel.operators import graph, retrieve, segment
+from kestrel.operators import graph, relations, retrieve, segment
 
 
 def mentions(sentences: DataFrame) -> DataFrame:
@@ -37,6 +37,23 @@ def build(docs: DataFrame, min_chars: int = 30) -> tuple[DataFrame, DataFrame]:
     return d.unionByName(s).unionByName(e), edges.withColumn("edge_id", T.edge_id(F.col("src"), F.col("type"), F.col("dst"), F.lit("")))
 
 
+def ingest_relations(raw: DataFrame, catalog: DataFrame, sentences: DataFrame, least: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """(new nodes, edges) of extracted relations (doc_id, head, relation, tail, confidence, evidence).
+
+    Ends are matched to the catalog, unknown ones become CONCEPT entities; evidence is placed in a
+    sentence of its document; an edge counts once for its ends, type and sentence.
+    """
+    r = raw.withColumn("type", rules.relation_label(F.col("relation"))).filter(F.col("type").isNotNull() & (F.col("confidence") >= least))
+    r = r.withColumn("h", T.normalize_surface(F.col("head"))).withColumn("t", T.normalize_surface(F.col("tail"))).filter("h <> '' AND t <> '' AND h <> t")
+    names = r.select(F.explode(F.array("h", "t")).alias("name")).distinct()
+    ends = relations.match_ends(names, catalog)
+    of = lambda c, n: ends.select(F.col("name").alias(c), F.col("canonical").alias(n))
+    j = r.join(of("h", "hc"), "h").join(of("t", "tc"), "t").select("doc_id", T.node_id(F.col("hc")).alias("src"), "type", T.node_id(F.col("tc")).alias("dst"), "confidence", "evidence")
+    placed = relations.evidence_sentence(j, sentences).dropDuplicates(["src", "type", "dst", "sent_id"])
+    new = ends.filter("how = 'new'").select(T.node_id(F.col("canonical")).alias("id"), F.lit("ENTITY").alias("label"), "canonical", F.lit("CONCEPT").alias("type"))
+    return new, placed.withColumn("edge_id", T.edge_id(F.col("src"), F.col("type"), F.col("dst"), F.coalesce("sent_id", F.lit(""))))
+
+
 def expand(cands: DataFrame, nodes: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
     """Candidates (query_id, id, item_type, sem, graph) after graph expansion from entities, communities and sentences.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions import parsing
-from kestrel.operators import retrieve, vectors
+from kestrel.operators import graph as graph_ops
+from kestrel.operators import relations, retrieve, vectors
+from kestrel.operators.scratch import folder
 from kestrel.plans import build
 from kestrel.plans.base import rows, table
 from kestrel.plans.graph_queries import tree_edges, tree_nodes
@@ -62,29 +64,21 @@ def cached(spark, sf):
 
 def graphml(spark, sf):
     nodes, edges = tree_nodes(spark, sf), tree_edges(spark, sf).withColumn("edge_id", F.concat("src", F.lit("-"), "dst"))
-    path = _folder(spark) + "/graphml"
+    path = folder(spark, "graphml")
     io.write_graphml(nodes, edges, path)
     n, e = io.read_graphml(spark, path)
     return n.select("id", "label").unionByName(e.select(F.col("edge_id").alias("id"), F.col("type").alias("label")))
 
 
-def _folder(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kestrel-")
-    return f"{base.rstrip('/')}/kestrel-io/{uuid.uuid4().hex}"
-
-
 def index_files(spark, sf):
     docs = table(spark, sf, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("id"), "text", F.lit("SENTENCE").alias("item_type"))
-    path = _folder(spark) + "/index"
+    path = folder(spark, "index")
     io.write_index(retrieve.build_index(docs), path)
     return io.read_index(spark, path).groupBy("item_type").agg(F.count("*").alias("n"))
 
 
 def text_files(spark, sf):
-    path = _folder(spark) + "/texts"
+    path = folder(spark, "texts")
     table(spark, sf, "region").select("r_name").coalesce(1).write.text(path)
     return io.read_texts(spark, path).select(F.regexp_replace("text", "\n", ",").alias("text"), "sha256")
 
@@ -96,11 +90,38 @@ def sliding(spark, sf):
 
 def stream(spark, sf):
     """The same counts of events by type, through a file stream and a table of batches."""
-    folder = _folder(spark)
-    table(spark, sf, "events").write.parquet(folder + "/in")
+    base = folder(spark, "stream")
+    table(spark, sf, "events").write.parquet(base + "/in")
     schema = table(spark, sf, "events").schema
-    ingest.ingest(spark, folder + "/in", schema, folder + "/out", folder + "/state", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")))
-    return spark.read.parquet(folder + "/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+    ingest.ingest(spark, base + "/in", schema, base + "/out", base + "/state", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")))
+    return spark.read.parquet(base + "/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def merged(spark, sf):
+    cat = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("canonical"), F.col("p_type").alias("label"))
+    return relations.merge_catalog(cat).select("label", "canonical", "ord", F.size("aliases").alias("n"))
+
+
+MERGED_SQL = r"""WITH k AS (SELECT p_partkey AS ord, p_name, p_type AS label, list_sort(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS b FROM part)
+SELECT label, arg_min(p_name, ord) AS canonical, min(ord) AS ord, CAST(count(DISTINCT p_name) AS INTEGER) AS n FROM k GROUP BY label, b"""
+
+
+def importance(spark, sf):
+    e = tree_edges(spark, sf).filter("type = 'PART_OF'").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("weight"))
+    return graph_ops.importance(e).select("node", F.round("rank", 6).alias("rank"))
+
+
+def ingested(spark, sf):
+    raw = rows(spark, ("doc_id int, head string, relation string, tail string, confidence double, evidence string", [(1, "Insurer", "owns", "Claim", 0.9, "pays"), (1, "Insurer", "owns", "Claim", 0.9, "pays"), (1, "New Thing", "part of", "Insurer", 0.8, "nowhere"), (1, "a", "9x", "b", 0.9, "")]))
+    cat = rows(spark, ("canonical string", [("insurer",), ("claim",)]))
+    sents = rows(spark, ("doc_id int, idx int, sent_id string, text string", [(1, 0, "s0", "First."), (1, 1, "s1", "The insurer pays.")]))
+    nodes, edges = build.ingest_relations(raw, cat, sents)
+    return edges.select("src", "type", "dst", "sent_id").unionByName(nodes.select(F.col("id").alias("src"), F.lit("NODE").alias("type"), F.col("canonical").alias("dst"), F.lit(None).cast("string").alias("sent_id")))
+
+
+def community_items(spark, sf):
+    c = table(spark, sf, "nation").select(F.concat(F.lit("comm:"), "n_nationkey").alias("id"), F.concat(F.lit("Community of "), "n_name").alias("summary"), F.col("n_name").alias("micro_summary"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("bullets"))
+    return retrieve.community_items(c)
 
 
 def queries() -> dict:
@@ -109,6 +130,10 @@ def queries() -> dict:
         "build_graph": (graph, None),
         "gra5_expand": (expansion, EXPAND_SQL),
         "gra18_structural_answer": (structural, STRUCT_SQL),
+        "jon5_merge_catalog": (merged, MERGED_SQL),
+        "gra12_betweenness": (importance, None),
+        "rel3_ingest_relations": (ingested, None),
+        "idx1_community_items": (community_items, "SELECT 'comm:' || n_nationkey AS id, 'Community of ' || n_name AS text, 'COMMUNITY' AS item_type FROM nation UNION ALL SELECT 'comm:' || n_nationkey || '::micro', n_name, 'COMMUNITY_MICRO' FROM nation UNION ALL SELECT 'comm:' || n_nationkey || '::bullets', n_name || ' | ' || n_regionkey, 'COMMUNITY_BULLETS' FROM nation"),
         "ans4_second_pass": (second_pass, None),
         "vec3_agg16_cache": (cached, "SELECT item_id AS id, CAST(384 AS INTEGER) AS dim FROM benchmark"),
         "txt26_repair_json": (lambda s, d: rows(s, RAW).select("id", parsing.repaired_json(F.col("raw")).alias("j")), None),

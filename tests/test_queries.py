@@ -105,3 +105,13 @@ def test_null_texts(spark):
     assert segment.chunks(docs).count() == 0 and segment.sentences(docs).count() == 0
     row = docs.select(rules.classify(F.col("text")).alias("c"), T.node_id(F.col("text")).alias("n")).first()
     assert (row.c, row.n) == ("general", "ent:unknown")
+
+
+def test_betweenness(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("b", "d", 1.0)], "a string, b string, weight double")
+    assert {r.node: r.rank for r in graph.importance(pairs).collect()} == {"a": 0.0, "b": 2.0, "c": 0.0, "d": 0.0}
+
+
+def test_ingested_relations(spark):
+    got = {(r.src, r.type, r.dst, r.sent_id) for r in build_queries.queries()["rel3_ingest_relations"][0](spark, SF).collect()}
+    assert got == {("ent:insurer", "OWNS", "ent:claim", "s1"), ("ent:new_thing", "PART_OF", "ent:insurer", "s0"), ("ent:new_thing", "NODE", "new thing", None)}
