@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import rules
 from kestrel.functions import text as T
 from kestrel.operators import segment, vectors
+from kestrel.operators.scratch import written
 
 EXEMPT = ["ENTITY", "PROVISION_CONTEXT"]
 PRIORITY = ["CHUNK", "SENTENCE", "ENTITY", "RELATION", "ENTITY_CONTEXT", "PROVISION_CONTEXT", "COMMUNITY", "COMMUNITY_MICRO", "COMMUNITY_BULLETS"]
@@ -199,7 +200,9 @@ def search(queries: DataFrame, docs: DataFrame, top_n: int = 20, top_k: int = 40
     forced = lexical(cited(queries), items)
     both = near.join(forced, ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("floor", "sem").alias("sem"), F.lit(0.0).alias("graph"))
     ranked = rank(both.join(items, "id").select("query_id", "id", "text", "item_type", "sem", "graph"))
-    return dedup_ranked(ranked.join(emb, "id", "left"), top_k)
+    ranked = written(ranked, "ranked")  # at most a few dozen rows for each query
+    own = vectors.hash_embed(ranked.select("id", "text").dropDuplicates(["id"]))
+    return dedup_ranked(ranked.join(own, "id", "left"), top_k)
 
 
 def answers(queries: DataFrame, docs: DataFrame) -> DataFrame:

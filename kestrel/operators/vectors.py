@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import text as T
 
 DIM = 384
+_TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def hash_cell(token: Column, dim: int = DIM) -> tuple[Column, Column]:
@@ -29,11 +32,38 @@ def hash_cells(rows: DataFrame, dim: int = DIM) -> DataFrame:
     return words.select("id", idx.alias("idx"), (sign * F.col("n")).alias("v")).groupBy("id", "idx").agg(F.sum("v").alias("value")).filter("value <> 0")
 
 
+class Cells(dict):
+    """(place, sign) of each token, kept while few enough."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) > 500_000:
+            self.clear()
+        h = hashlib.sha256(token.encode()).digest()
+        found = self[token] = int.from_bytes(h[:4], "little") % self.dim, 1 if h[4] % 2 == 0 else -1
+        return found
+
+
 def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, embedding): the cells as a dense vector of length one."""
-    cells = hash_cells(rows, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("value").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("value") ** 2)).alias("len"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.col("m")[i], F.lit(0.0)) / (F.col("len") + 1e-9)).cast("float"))
-    return cells.select("id", dense.alias("embedding"))
+    """(id, embedding): the cells of each text as a dense vector of length one, in one pass; texts without tokens are left out."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = Cells(dim)
+        for batch in batches:
+            ids, out = [], []
+            for key, text in zip(batch["id"], batch["text"]):
+                found = _TOKEN.findall((text or "").lower())
+                if found:
+                    at = np.array([cells[t] for t in found])
+                    v = np.bincount(at[:, 0], at[:, 1], dim)
+                    out.append((v / (np.linalg.norm(v) + 1e-9)).astype(np.float32))
+                    ids.append(key)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "embedding": out})
+
+    return rows.select("id", "text").mapInPandas(run, f"id {kind}, embedding array<float>")
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:

@@ -115,3 +115,13 @@ def test_betweenness(spark):
 def test_ingested_relations(spark):
     got = {(r.src, r.type, r.dst, r.sent_id) for r in build_queries.queries()["rel3_ingest_relations"][0](spark, SF).collect()}
     assert got == {("ent:insurer", "OWNS", "ent:claim", "s1"), ("ent:new_thing", "PART_OF", "ent:insurer", "s0"), ("ent:new_thing", "NODE", "new thing", None)}
+
+
+def test_embedding_has_the_cells(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").filter("id < 40")
+    cells = {}
+    for r in vectors.hash_cells(docs).collect():
+        cells.setdefault(r.id, {})[r.idx] = r.value
+    for r in vectors.hash_embed(docs).collect():
+        size = sum(x * x for x in cells[r.id].values()) ** 0.5
+        assert all(abs(x - cells[r.id].get(i, 0) / (size + 1e-9)) < 1e-6 for i, x in enumerate(r.embedding))
