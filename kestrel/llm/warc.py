@@ -22,8 +22,8 @@ from kestrel.llm import common
 
 END = "\r\n"
 DATE = "2000-01-01T00:00:00Z"
-#: Records in one archive file at most; a task writes as many files as it needs.
-RECORDS_PER_FILE = 30000
+#: Bytes of payload that an archive file aims at, and the records it has at most; a reader holds a file in memory.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 30000
 #: Payloads of fewer bytes are never revisited.
 REVISIT_BYTES = 0
 
@@ -73,7 +73,9 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
 
 def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
     """Archives of all pages as gzipped files in the folder `path`."""
-    out = records(pages, revisit_bytes).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+    most = int(min(RECORDS_PER_FILE, max(3, 3 * FILE_BYTES / (mean + 1000))))
+    out = records(pages, revisit_bytes).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most)
     out.text(path)
 
 
