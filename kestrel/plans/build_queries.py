@@ -84,8 +84,8 @@ def text_files(spark, sf):
 
 
 def sliding(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ingest.sliding_counts(e).select(F.unix_seconds("start").alias("start"), "event_type", "n")
+    since = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', start)")  # whatever the session's zone is
+    return ingest.sliding_counts(table(spark, sf, "events")).select(since.alias("start"), "event_type", "n")
 
 
 def stream(spark, sf):
