@@ -7,9 +7,14 @@ first; one round of expectation-maximisation over all distinct training words re
 The forward recursion in log space sums over all segmentations. A whole word has mass
 N / (N + V) in all and spelled words V / (N + V) (N tokens, V distinct ones in training), so
 P(w) = (c(w) + V * P_pieces(w)) / (N + V). No piece crosses a word, so the marginal
-probability of a text's words is the product of their marginals (lattice_score). Words recur
-within a text, so `score` takes these marginals as the mean of a Dirichlet prior of weight
-CONCENTRATION for each text: the probability of a word rises with its earlier occurrences.
+probability of a text's words is the product of their marginals (lattice_score).
+
+Texts differ in language and matter and repeat their words, so `score` sums over CLASSES
+latent classes: a text is of class k with probability w_k, and the distribution of its words
+has a Dirichlet prior of weight CONCENTRATION whose mean P_k(w) = (c_k(w) + S * P(w)) / (N_k + S)
+shares S = SHARED * N_k with the marginal above. The classes are told apart by a mixture of
+multinomials over hashed words, fitted without labels on at most about CLASS_DOCS training
+texts; their counts c_k are those of all training texts, each in its likeliest class.
 
 The corpus is read once into blocks: a block's own dictionary and its documents as word
 numbers. Counts are summed over all dictionaries by word and joined back to them, and a
@@ -19,6 +24,7 @@ block meets its dictionary again by its number, so no task holds more than a blo
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +40,11 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: A block ends with the text that brings it to so many distinct words or bytes.
 BLOCK_WORDS, BLOCK_BYTES = 600_000, 32 << 20
 #: Weight of the corpus against a text's own words.
-CONCENTRATION = 1000.0
+CONCENTRATION = 3000.0
+#: Latent classes (a byte of a long each), and the weight of all texts against those of a class.
+CLASSES, SHARED = 8, 0.15
+#: Classes are fitted on about so many training texts, over so many hashes of words.
+CLASS_DOCS, BUCKETS = 2000, 1 << 13
 START = "▁"
 _STOP = 0.3
 _SMOOTH = 0.02
@@ -185,20 +195,71 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = "block long, doc_id {id}, held_out boolean, n long, place array<int>, times array<int>, words array<string>, counts array<long>"
+def hashed(words) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+
+
+def mixture(x: np.ndarray, classes: int = CLASSES, rounds: int = 25, starts: int = 2) -> np.ndarray:
+    """Log probability of each bucket (rows) in each class from counts of texts, by expectation-maximisation from fixed seeds."""
+    rng, best = np.random.default_rng(0), None
+    if not len(x):
+        return np.zeros((BUCKETS, classes), np.float32)
+    flat = x.mean(axis=0) + 1e-3
+    for _ in range(starts):
+        theta = x[rng.choice(len(x), 8 * classes)].reshape(classes, 8, -1).sum(axis=1) + 50 * flat
+        share = np.full(classes, 1 / classes)
+        for _ in range(rounds):
+            logs = np.log(theta / theta.sum(axis=1, keepdims=True))
+            g = x @ logs.T.astype(np.float32) + np.log(share)
+            most = g.max(axis=1, keepdims=True)
+            z = np.exp(g - most)
+            total = z.sum(axis=1, keepdims=True)
+            z /= total
+            share = (z.sum(axis=0) + 1) / (len(x) + classes)
+            theta = z.T @ x + 0.5 * flat
+        fit = float((most + np.log(total)).sum())
+        if best is None or fit > best[0]:
+            best = fit, logs
+    return np.ascontiguousarray(best[1].T, np.float32)
+
+
+def classes(docs: DataFrame, learning: int, most: int = CLASS_DOCS) -> np.ndarray:
+    """The mixture fitted on about `most` of the `learning` training texts, chosen by a hash of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                n = np.bincount(hashed((text or "").encode("utf-8", "replace").lower().split()), minlength=BUCKETS)
+                ids = np.flatnonzero(n)
+                found.append(np.array([ids, n[ids]], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["counts"])
+
+    some = docs.filter("learns").filter(common.chance(F.col("doc_id"), 7) < min(1.0, most / max(1, learning)))
+    rows = sorted(bytes(r["counts"]) for r in some.select("text").mapInArrow(run, "counts binary").limit(2 * most).collect())  # bounded by texts and buckets
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        ids, n = np.frombuffer(r, np.int32).reshape(2, -1)
+        x[i, ids] = n
+    return mixture(x)
+
+
+_COUNTS = [f"c{k}" for k in range(CLASSES)]
+_ROW = "block long, doc_id {id}, held_out boolean, class int, n long, place array<int>, times array<int>, words array<string>, " + ", ".join(f"{c} array<int>" for c in _COUNTS)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of documents (place and times of their distinct words) and rows of dictionaries (words and training counts).
+def blocks(docs: DataFrame, logs: np.ndarray) -> DataFrame:
+    """Rows of documents (place and times of their distinct words) and rows of dictionaries (words and training counts by class).
 
-    Reads (doc_id, text, learns, held_out).
+    Reads (doc_id, text, learns, held_out). `class` is null for texts that are not learned from.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, key = TaskContext.get().partitionId() << 24, None
         words: dict[bytes, int] = {}
-        train = np.zeros(1 << 16, np.int64)
+        train, bucket = np.zeros((1 << 16, CLASSES), np.int32), np.zeros(1 << 16, np.int32)
         size = 0
         rows: list[tuple] = []
 
@@ -206,8 +267,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             r = list(zip(*rows))
             rows.clear()
             n = len(r[0])
-            cols = [pa.array(r[0], pa.int64()), pa.array(r[1], key), pa.array(r[2], pa.bool_()), pa.array(r[3], pa.int64()), pa.array(r[4], pa.list_(pa.int32())), pa.array(r[5], pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [pa.array(x, t) for x, t in zip(r, (pa.int64(), key, pa.bool_(), pa.int32(), pa.int64(), ints, ints))]
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.string())), *[pa.nulls(n, ints)] * CLASSES], names=names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             listed = [w.decode("utf-8") for w in words]
@@ -215,26 +276,35 @@ def blocks(docs: DataFrame) -> DataFrame:
             parts = range(0, len(listed), step)
             n = len(parts)
             if n:
-                cols = [pa.array([at] * n, pa.int64()), pa.nulls(n, key), pa.nulls(n, pa.bool_()), pa.array(parts, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.array([listed[i : i + step] for i in parts], pa.list_(pa.string())), pa.array([train[i : min(i + step, len(listed))] for i in parts], pa.list_(pa.int64()))]
+                cols = [pa.array([at] * n, pa.int64()), pa.nulls(n, key), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int32()), pa.array(parts, pa.int64()), pa.nulls(n, ints), pa.nulls(n, ints), pa.array([listed[i : i + step] for i in parts], pa.list_(pa.string()))]
+                cols += [pa.array([train[i : min(i + step, len(listed)), k] for i in parts], ints) for k in range(CLASSES)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
             key = batch.schema.field(0).type
             for doc, text, learns, held in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 b = (text or "").encode("utf-8", "replace").lower()
-                own = Counter(b.split())
+                own, before = Counter(b.split()), len(words)
                 place = np.array([words.setdefault(w, len(words)) for w in own], np.int32)
                 times = np.fromiter(own.values(), np.int32, len(own))
                 if len(words) > len(train):
-                    train = np.concatenate([train, np.zeros(max(len(train), len(words)), np.int64)])
+                    more = max(len(train), len(words))
+                    train, bucket = np.concatenate([train, np.zeros((more, CLASSES), np.int32)]), np.concatenate([bucket, np.zeros(more, np.int32)])
+                if len(words) > before:
+                    listed = list(own)
+                    new = np.flatnonzero(place >= before)
+                    bucket[place[new]] = hashed([listed[i] for i in new.tolist()])
+                k = None
                 if learns:
-                    train[place] += times
+                    k = int(np.argmax(times.astype(np.float32) @ logs[bucket[place]]))
+                    train[place, k] += times
                 size += len(b)
-                rows.append((at, doc, held, int(times.sum()) + 1, place, times))
+                rows.append((at, doc, held, k, int(times.sum()) + 1, place, times))
                 if len(words) >= BLOCK_WORDS or size >= BLOCK_BYTES:
                     yield docs_out()
                     yield from dictionary()
-                    words, train, size, at = {}, np.zeros(1 << 16, np.int64), 0, at + 1
+                    words, size, at = {}, 0, at + 1
+                    train, bucket = np.zeros((1 << 16, CLASSES), np.int32), np.zeros(1 << 16, np.int32)
             if rows:
                 yield docs_out()
         yield from dictionary()
@@ -262,15 +332,22 @@ def refit(vocab: DataFrame, lattice: Lattice) -> Lattice:
 def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row of (doc_id, text, learns, held_out).
 
-    A null text is empty: its end token alone is scored. Without training rows every word is
+    Scores are log10 probabilities. A null text is empty: its end token alone is scored. Without training rows every word is
     spelled and the end token is certain; repeated rows give a row each.
     """
     ends = docs.filter("learns").count()
-    made, path = common.written(blocks(docs), "blocks")
-    listed = made.filter("words IS NOT NULL").selectExpr("block", "n", "posexplode(arrays_zip(words, counts)) AS (i, x)").selectExpr("block", "CAST(n + i AS INT) AS place", "x.words AS word", "x.counts AS own")
-    vocab, _ = common.written(listed.groupBy("word").agg(F.sum("own").alias("c")), "vocab")
-    sums = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    made, path = common.written(blocks(docs, classes(docs, ends)), "blocks")
+    dictionaries = made.filter("words IS NOT NULL")
+    counted = dictionaries.selectExpr(f"explode(arrays_zip(words, {', '.join(_COUNTS)})) AS x").select("x.*").groupBy(F.col("words").alias("word")).agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    shares = " | ".join(f"shiftleft(CAST(round(255 * {c} / c) AS BIGINT), {8 * k})" for k, c in enumerate(_COUNTS))
+    vocab, _ = common.written(counted.withColumn("c", sum(map(F.col, _COUNTS))).selectExpr("word", "c", f"CASE WHEN c > 0 THEN {shares} ELSE 0L END AS shares"), "vocab")
+    mass = [f"coalesce(sum(c * (shiftrightunsigned(shares, {8 * k}) & 255)), 0) / 255D AS n{k}" for k in range(CLASSES)]
+    sums = vocab.selectExpr("coalesce(sum(c), 0) AS n", "count_if(c > 0) AS v", *mass).first()
     n_train, n_types = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
+    texts = {r["class"]: r["n"] for r in made.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n")).collect()}
+    texts = np.array([texts.get(k, 0) for k in range(CLASSES)], np.float64)
+    in_class = np.array([float(sums[f"n{k}"]) for k in range(CLASSES)]) + texts
+    prior = np.log((texts + 1) / (texts.sum() + CLASSES))
     lattice = Lattice.existing(vocabulary(pieces))
     if n_types > 1:
         lattice = refit(vocab, lattice)
@@ -282,10 +359,11 @@ def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
             if n_train:
                 with np.errstate(divide="ignore"):
                     lp = np.logaddexp(np.log(c), lp + math.log(n_types)) - math.log(n_train + n_types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp / _LN10)], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((lp / _LN10).astype(np.float32))], names=["word", "c", "shares", "lp"])
 
-    weighed = vocab.mapInArrow(spell, "word string, c long, lp double")
-    own = listed.select("block", "place", "word").join(weighed, "word").select("block", "place", "c", "lp")
+    weighed = vocab.mapInArrow(spell, "word string, c long, shares long, lp float")
+    places = dictionaries.selectExpr("block", "n", "posexplode(words) AS (i, word)").selectExpr("block", "CAST(n + i AS INT) AS place", "word")
+    own = places.join(weighed, "word").select("block", "place", "c", "shares", "lp")
     end = math.log10(ends / (n_train + n_types)) if ends else 0.0
     base_end, base_all = math.log10(ends + 1), math.log10(n_train + n_types + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -293,8 +371,8 @@ def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         size = right.num_rows
         place = right.column("place").to_numpy()
-        c, lp = np.zeros(size), np.zeros(size)
-        c[place], lp[place] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        c, lp, shares = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+        c[place], lp[place], shares[place] = right.column("c").to_numpy(), right.column("lp").to_numpy(), right.column("shares").to_numpy()
         gain = np.log10(c + 1)
         lists, times = left.column("place").combine_chunks(), left.column("times").combine_chunks()
         flat, t = np.asarray(lists.flatten()), np.asarray(times.flatten(), np.float64)
@@ -303,13 +381,21 @@ def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
         n = left.column("n").to_numpy()
         base = total(gain) + base_end - n * base_all
         known = total((c > 0).astype(float)).astype(np.int64) + (ends > 0)
-        a = CONCENTRATION * 10.0 ** lp[flat]  # the prior's weight of each word of each text
-        again = t > 1
-        gain = np.log(CONCENTRATION) + _LN10 * lp[flat]
-        gain[again] += log_gamma(a[again] + t[again]) - log_gamma(a[again] + 1.0)
+        again = np.flatnonzero(t > 1)
+        row2, flat2, t2 = row[again], flat[again], t[again]
         drawn = n - (ends == 0)
-        text = np.bincount(row, gain, left.num_rows) + (math.log(CONCENTRATION) + _LN10 * end if ends else 0.0)
-        text = text + log_gamma(np.array([CONCENTRATION])) - log_gamma(CONCENTRATION + drawn)
+        norm = log_gamma(np.array([CONCENTRATION])) - log_gamma(CONCENTRATION + drawn)
+        text = np.empty((left.num_rows, CLASSES))
+        for k in range(CLASSES):
+            shared = max(SHARED * in_class[k], 1.0)
+            own = c * ((shares >> (8 * k)) & 255) / 255
+            with np.errstate(divide="ignore"):
+                weight = np.logaddexp(np.log(own), math.log(shared) + _LN10 * lp) + math.log(CONCENTRATION / (in_class[k] + shared))  # log of the prior's weight of each word
+            last = math.log(CONCENTRATION * (texts[k] + shared * 10.0**end) / (in_class[k] + shared)) if ends else 0.0
+            a = np.exp(weight)[flat2]
+            text[:, k] = prior[k] + norm + last + np.bincount(row, weight[flat], left.num_rows) + np.bincount(row2, log_gamma(a + t2) - log_gamma(a + 1.0), left.num_rows)
+        most = text.max(axis=1)
+        text = most + np.log(np.exp(text - most[:, None]).sum(axis=1))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
         cols = [left.column("doc_id"), left.column("held_out"), left.column("n"), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(text / _LN10), pa.array(total(lp) + end)]
         return pa.Table.from_arrays(cols, names=names)

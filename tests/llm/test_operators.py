@@ -176,7 +176,32 @@ def test_op7_base_and_lattice(spark, docs):
         h, w = held[r.doc_id]
         want = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(w), sum(count[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0 and math.isfinite(r.lattice_score)
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0 and math.isfinite(r.score) and math.isfinite(r.lattice_score)
+
+
+def test_op7_held_out_beats_the_base(spark):
+    rows = registry.QUERIES["op7_lattice_lm"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.lattice_score for r in rows)
+    known = [r for r in rows if r.n_known >= 0.97 * r.n_tokens]
+    assert known and sum(r.score > r.base_score for r in known) >= 0.9 * len(known)
+
+
+def test_mixture_tells_classes_apart():
+    rng = np.random.default_rng(1)
+    x = np.zeros((300, lattice_lm.BUCKETS), np.float32)
+    truth = rng.integers(0, 3, 300)
+    for i, k in enumerate(truth):
+        np.add.at(x[i], 50 * k + rng.integers(0, 50, 60), 1)
+    found = (x @ lattice_lm.mixture(x, classes=4)).argmax(axis=1)
+    assert all(len(set(truth[found == k])) <= 1 for k in range(4))
+    assert not lattice_lm.mixture(x[:0]).any()
+
+
+def test_op7_words_without_probability(spark):
+    rows = [(k, "a b a", k < 3, k >= 3) for k in range(4)] + [(9, "x" * 100000 + " a", False, True), (None, None, False, False)]
+    got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean, held_out boolean")).collect()}
+    assert len(got) == 6 and all(math.isfinite(r.score) and r.score <= 0 for r in got.values())
+    assert got[9].score < got[3].score and (got[3].n_tokens, got[3].n_known, got[3].train_tokens) == (4, 4, 12)
 
 
 def test_lattice_sums_all_segmentations():
