@@ -1,8 +1,8 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
 Every block-level element is a binary variable (content or not). Features of an element
-(its kind, class and id words, length of own text, share of linked text) give its node
-potential; each parent-child edge has a potential by the kinds of both. Sum-product
+(its kind, class and id words, whether it lies within an element whose kind or words speak
+against the article, length of own text, share of linked text) give its node potential; each parent-child edge has a potential by the kinds of both. Sum-product
 messages go upward and downward once, which is exact on a tree, and an element's text is
 kept where its content marginal is over one half. All potentials are counts over labelled
 pages, made by `labelled_pages` from a fixed seed.
@@ -50,6 +50,10 @@ AWAY = set(
     login search share sharing social related recommended trending widget toolbar pagination pager comment comments commentlist reply replies
     respond disqus feedback form contact copyright legal skip hidden tags meta byline complementary contentinfo""".split()
 )
+#: Words that make a class name a statement about the layout, as in "no-sidebar".
+LAYOUT = {"with", "has", "no", "without"}
+#: Kinds whose descendants lie outside the article.
+OUTSIDE = {"nav", "menu", "header", "footer", "aside"}
 TOWARD = set("article content post entry story main body text prose maincontent mainarticle richtext markdown page".split())
 
 
@@ -66,8 +70,16 @@ def hint_of(attrs: str) -> int:
     """-1, 0 or 1 by the words of class, id and role."""
     if "=" not in attrs:
         return 0
-    found = {w for m in HINT.finditer(attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-    return -1 if found & AWAY else 1 if found & TOWARD else 0
+    out = 0
+    for m in HINT.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = WORDS.findall(name)
+            if not AWAY.isdisjoint(words):
+                if LAYOUT.isdisjoint(words):
+                    return -1
+            elif not TOWARD.isdisjoint(words):
+                out = 1
+    return out
 
 
 def parse(text: str) -> Dom:
@@ -165,7 +177,7 @@ def parse(text: str) -> Dom:
         links = 0 if KINDS[tag] in ("p", "box", "article") else links
         dom.kind.append(KINDS[tag])
         dom.parent.append(stack[-1][1])
-        dom.hint.append(hint_of(m[3]))
+        dom.hint.append(hint_of(m[3]) if KINDS[tag] != "root" else 0)
         dom.own.append(0)
         dom.linked.append(0)
         push(tag, len(dom.kind) - 1)
@@ -178,13 +190,17 @@ def _length(n: int) -> int:
 
 
 def features(dom: Dom) -> list[tuple]:
-    """For each element: its kind, hint, length of own text and share of linked text, the last three in classes."""
+    """For each element: its kind, hint, whether it lies outside, length of own text and share of linked text, the last two in classes."""
     total, linked = list(dom.own), list(dom.linked)
     for k in range(len(total) - 1, 0, -1):
         total[dom.parent[k]] += total[k]
         linked[dom.parent[k]] += linked[k]
     share = [0 if not t else 1 + (x > 0.2 * t) + (x > 0.6 * t) for x, t in zip(linked, total)]
-    return [(("kind", a), ("hint", b), ("own", _length(c)), ("link", d)) for a, b, c, d in zip(dom.kind, dom.hint, dom.own, share)]
+    outside = [0] * len(total)
+    for k in range(1, len(total)):
+        up = dom.parent[k]
+        outside[k] = int(outside[up] or dom.hint[up] < 0 or dom.kind[up] in OUTSIDE)
+    return [(("kind", a), ("hint", b), ("outside", o), ("own", _length(c)), ("link", d)) for a, b, o, c, d in zip(dom.kind, dom.hint, outside, dom.own, share)]
 
 
 def edge_key(dom: Dom, k: int) -> tuple[str, str]:
@@ -283,9 +299,11 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
             if pick == 0:
                 el(tag, 0, words(3, 14) if maybe(0.5) else lambda: el("p", 0, words(4, 20)), cls("ad", "advert", "ads banner", "sponsored", "promo"))
             elif pick == 1:
-                el("aside", 0, lambda: (el("h3", 0, words(1, 3)), links() if maybe(0.6) else el("p", 0, words(5, 40))), cls("sidebar", "related", "widget") if maybe(0.6) else "")
+                side = lambda: (el("h3", 0, words(1, 3)), links() if maybe(0.6) else el("p", 0, words(5, 60)))
+                el("div", 0, side, cls("sidebar", "col sidebar", "related", "widget-area")) if maybe(0.4) else el("aside", 0, side, cls("sidebar", "related", "widget") if maybe(0.6) else "")
             elif pick == 2:
-                el(tag, 0, lambda: [el("div", 0, lambda: el("p", 0, words(3, 60)), cls("comment", "reply")) if maybe(0.6) else el("p", 0, words(3, 60)) for _ in range(rng.randint(1, 5))], cls("comments", "comment-list", "replies"))
+                one = lambda: el(rng.choice(["div", "div", "article", "li"]), 0, lambda: el("p", 0, words(3, 60)), cls("comment", "reply")) if maybe(0.6) else el("p", 0, words(3, 60))
+                el(tag, 0, lambda: (el("h3", 0, words(1, 3)) if maybe(0.4) else None, [one() for _ in range(rng.randint(1, 8))]), cls("comments", "comment-list", "replies"))
             elif pick == 3:
                 el("form", 0, lambda: (el("p", 0, words(2, 12)), out.append('<input type="text"> ' + words(1, 3))))
             elif pick == 4:
@@ -329,7 +347,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
 
         def body():
             if maybe(0.7):
-                el("header", 0, lambda: (el("p", 0, words(1, 5)) if maybe(0.5) else el("h2", 0, words(1, 4)), el("nav", 0, links) if maybe(0.5) else out.append(words(1, 6))))
+                top, extra = rng.choice([("header", "")] * 3 + [("div", 'id="header"'), ("div", 'class="site-header"')])
+                el(top, 0, lambda: (el(rng.choice(["h1", "p"]), 0, words(1, 5)) if maybe(0.5) else el("h2", 0, words(1, 4)), el("nav", 0, links) if maybe(0.5) else out.append(words(1, 6))), extra)
             if maybe(0.7):
                 el("nav", 0, links)
             for _ in range(rng.randint(0, 2)):
@@ -341,8 +360,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
                 el("main", 1, lambda: el("article", 1, body_text) if maybe(0.5) else body_text())
             elif shell < 0.85:
                 el("div", 1, body_text, rng.choice(['class="content"', 'id="main"', 'class="entry-content"', 'class="story"', 'class="article-body"']))
-            elif shell < 0.93:
+            elif shell < 0.9:
                 el("div", 1, lambda: el("div", 1, body_text))
+            elif shell < 0.93:
+                el("table", 1, lambda: el("tr", 1, lambda: (el("td", 0, f'<a href="/a">{words(1, 3)}</a><br><a href="/b">{words(1, 3)}</a>'), el("td", 1, body_text))))
             else:
                 body_text()
             for _ in range(rng.randint(0, 3)):

@@ -108,6 +108,8 @@ PAGES = [
     ("<article><p>A long enough sentence for the article here.</p><div class='ad'>Buy now</div><script>var a='</p>';</script><section class=comments><p>first!</p></section><form>Name <input></form></article>", "A long enough sentence for the article here."),
     ("<div class=cookie-notice><p>We use cookies</p></div><div id=content><p>Real text of the page is here for all.</p></div><aside><p>also</p></aside>", "Real text of the page is here for all."),
     ("<article><p>unclosed <b>bold<p>next &lt;tag&gt; <!-- no --></article", "unclosed bold\n\nnext <tag>"),
+    ("<div id=header><h1>Site</h1></div><div id=main-content class='with-sidebar'><h2>T</h2><p>A paragraph of the article, with several words in it.</p></div><section id=comments><h3>Comments</h3>" + "<article class=comment><p>I think that this is what a reader says about the article.</p></article>" * 6 + "</section>", "T\n\nA paragraph of the article, with several words in it."),
+    ("<div class=content><h1>T</h1><p>A paragraph of the article, with several words in it.</p></div><div class='col sidebar'><h3>About</h3><p>A paragraph that tells of the site, with several words in it.</p></div>", "T\n\nA paragraph of the article, with several words in it."),
     ("<div>" * 3000 + "<p>deep text in a page</p>", "deep text in a page"),
 ]
 
