@@ -1,6 +1,7 @@
 """Licence scan: units of normalised text against licence templates.
 
-A unit is a line, or the whole text. Units and templates are compared by the Dice
+A unit is a line, a paragraph of several lines (between lines without letters and digits, so
+that wrapped and commented notices count), or the whole text. Units and templates are compared by the Dice
 coefficient of their sets of word bigrams; a template of b bigrams can only reach the
 threshold t with units of t/(2-t)*b to (2-t)/t*b bigrams, so others are never compared.
 Everything is a Catalyst expression; the templates are one literal of fixed size.
@@ -22,11 +23,15 @@ TEMPLATES = {
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "MIT-paragraph": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -57,7 +62,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, least = _templates(threshold, lambda xs: f"array({', '.join(xs)})")
     lits = ", ".join(f"named_struct('id', '{n}', 'lo', {lo}, 'hi', {hi}, 'n', {k}, 'grams', {a})" for n, lo, hi, k, a in rows)
     text = docs.selectExpr("doc_id", r"regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ') AS norm")
-    units = text.selectExpr("doc_id", r"concat(split(norm, '\\n'), CASE WHEN contains(norm, '\n') THEN array(replace(norm, '\n', ' ')) ELSE array() END) AS units")
+    paragraphs = r"CASE WHEN norm RLIKE '\\n *\\n' THEN transform(filter(split(norm, '\\n *\\n[ \\n]*'), p -> contains(p, '\n')), p -> replace(p, '\n', ' ')) ELSE array() END"
+    units = text.selectExpr("doc_id", rf"concat(split(norm, '\\n'), {paragraphs}, CASE WHEN contains(norm, '\n') THEN array(replace(norm, '\n', ' ')) ELSE array() END) AS units")
     words = units.selectExpr("doc_id", f"filter(transform(units, u -> split(trim(regexp_replace(u, ' +', ' ')), ' ')), w -> size(w) > {least}) AS units")
     grams = words.selectExpr("doc_id", "transform(units, w -> array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))) AS units")
     most = max(r[2] for r in rows)
@@ -74,7 +80,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Licence notices in the lines and whole texts of every document."""
+    """Licence notices in the lines, paragraphs and whole texts of every document."""
     return scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -86,7 +92,7 @@ def oracle(threshold: float = THRESHOLD) -> str:
 WITH templates(id, lo, hi, n, grams) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),
 units AS (
-  SELECT r, unnest(list_concat(string_split(norm, chr(10)), CASE WHEN contains(norm, chr(10)) THEN [replace(norm, chr(10), ' ')] ELSE [] END)) AS u FROM docs),
+  SELECT r, unnest(list_concat(string_split(norm, chr(10)), list_transform(list_filter(string_split_regex(norm, '\n *\n[ \n]*'), lambda p: regexp_matches(norm, '\n *\n') AND contains(p, chr(10))), lambda p: replace(p, chr(10), ' ')), CASE WHEN contains(norm, chr(10)) THEN [replace(norm, chr(10), ' ')] ELSE [] END)) AS u FROM docs),
 words AS (SELECT r, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM units),
 grams AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
 hits AS (

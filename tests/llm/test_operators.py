@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import bpe, common, components, decontaminate, html_text, langid, lattice_lm, registry, simhash, topk, toxicity, warc
+from kestrel.llm import bpe, common, components, decontaminate, html_text, langid, lattice_lm, license_scan, registry, simhash, topk, toxicity, warc
 from tests.conftest import SF, rows_of, sql_rows
 
 
@@ -28,6 +29,20 @@ def test_sql(spark, name):
     assert rows_of(registry.QUERIES[name](spark, SF)) == sql_rows(registry.SQL[name])
 
 
+def test_op1_wrapped_notices(spark, tmp_path):
+    notice = license_scan.TEMPLATES["MIT-paragraph"].split()
+    wrapped = "\n".join("# " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
+    texts = [f"import x\n#\n{wrapped}\n#\n\nprint(x)", f"{wrapped}\n\n\n", "\n\n", "a\n \nReleased under\nthe MIT License.\n--\nb", " ".join(notice[:20]), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = license_scan.op1_license_scan(spark, str(tmp_path))
+    got = {r.doc_id: r.best_license for r in rows.collect()}
+    assert got == {0: "MIT-paragraph", 1: "MIT-paragraph", 2: None, 3: "MIT", 4: "MIT-permission", 5: None}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {(r[0], r[1], r[2]) for r in con.execute(f"SELECT doc_id, n_matches, licenses FROM ({license_scan.oracle()})").fetchall()}
+    assert {(r.doc_id, r.n_matches, r.licenses) for r in rows.collect()} == want
+
+
 def test_op2_held_out(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = registry.QUERIES["op2_language_id"](spark, SF).collect()
