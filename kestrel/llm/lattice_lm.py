@@ -39,6 +39,8 @@ from kestrel.llm import common
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: A block ends with the text that brings it to so many distinct words or bytes.
 BLOCK_WORDS, BLOCK_BYTES = 600_000, 32 << 20
+#: Texts of a block are scored in steps of about so many distinct words, which bounds memory.
+STEP = 400_000
 #: Weight of the corpus against a text's own words.
 CONCENTRATION = 3000.0
 #: Latent classes (a byte of a long each), and the weight of all texts against those of a class.
@@ -373,32 +375,42 @@ def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
         place = right.column("place").to_numpy()
         c, lp, shares = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         c[place], lp[place], shares[place] = right.column("c").to_numpy(), right.column("lp").to_numpy(), right.column("shares").to_numpy()
-        gain = np.log10(c + 1)
-        lists, times = left.column("place").combine_chunks(), left.column("times").combine_chunks()
-        flat, t = np.asarray(lists.flatten()), np.asarray(times.flatten(), np.float64)
-        row = np.repeat(np.arange(left.num_rows), np.asarray(lists.value_lengths()))
-        total = lambda x: np.bincount(row, x[flat] * t, left.num_rows)
-        n = left.column("n").to_numpy()
-        base = total(gain) + base_end - n * base_all
-        known = total((c > 0).astype(float)).astype(np.int64) + (ends > 0)
-        again = np.flatnonzero(t > 1)
-        row2, flat2, t2 = row[again], flat[again], t[again]
-        drawn = n - (ends == 0)
-        norm = log_gamma(np.array([CONCENTRATION])) - log_gamma(CONCENTRATION + drawn)
-        text = np.empty((left.num_rows, CLASSES))
+        gain, is_known = np.log10(c + 1), (c > 0).astype(float)
+        norm = log_gamma(np.array([CONCENTRATION]))
+        weights, lasts = [], []  # logs of the prior's weight of each word and of the end, by class
         for k in range(CLASSES):
             shared = max(SHARED * in_class[k], 1.0)
             own = c * ((shares >> (8 * k)) & 255) / 255
             with np.errstate(divide="ignore"):
-                weight = np.logaddexp(np.log(own), math.log(shared) + _LN10 * lp) + math.log(CONCENTRATION / (in_class[k] + shared))  # log of the prior's weight of each word
-            last = math.log(CONCENTRATION * (texts[k] + shared * 10.0**end) / (in_class[k] + shared)) if ends else 0.0
-            a = np.exp(weight)[flat2]
-            text[:, k] = prior[k] + norm + last + np.bincount(row, weight[flat], left.num_rows) + np.bincount(row2, log_gamma(a + t2) - log_gamma(a + 1.0), left.num_rows)
-        most = text.max(axis=1)
-        text = most + np.log(np.exp(text - most[:, None]).sum(axis=1))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
-        cols = [left.column("doc_id"), left.column("held_out"), left.column("n"), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(text / _LN10), pa.array(total(lp) + end)]
-        return pa.Table.from_arrays(cols, names=names)
+                weights.append(np.logaddexp(np.log(own), math.log(shared) + _LN10 * lp) + math.log(CONCENTRATION / (in_class[k] + shared)))
+            lasts.append(math.log(CONCENTRATION * (texts[k] + shared * 10.0**end) / (in_class[k] + shared)) if ends else 0.0)
+
+        def some(left: pa.Table) -> pa.Table:
+            lists, times = left.column("place").combine_chunks(), left.column("times").combine_chunks()
+            flat, t = np.asarray(lists.flatten()), np.asarray(times.flatten(), np.float64)
+            row = np.repeat(np.arange(left.num_rows), np.asarray(lists.value_lengths()))
+            total = lambda x: np.bincount(row, x[flat] * t, left.num_rows)
+            n = left.column("n").to_numpy()
+            base = total(gain) + base_end - n * base_all
+            known = total(is_known).astype(np.int64) + (ends > 0)
+            again = np.flatnonzero(t > 1)
+            row2, flat2, t2 = row[again], flat[again], t[again]
+            drawn = norm - log_gamma(CONCENTRATION + n - (ends == 0))
+            text = np.empty((left.num_rows, CLASSES))
+            for k in range(CLASSES):
+                a = np.exp(weights[k][flat2])
+                text[:, k] = prior[k] + drawn + lasts[k] + np.bincount(row, weights[k][flat], left.num_rows) + np.bincount(row2, log_gamma(a + t2) - log_gamma(a + 1.0), left.num_rows)
+            most = text.max(axis=1)
+            text = most + np.log(np.exp(text - most[:, None]).sum(axis=1))
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
+            cols = [left.column("doc_id"), left.column("held_out"), left.column("n"), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(text / _LN10), pa.array(total(lp) + end)]
+            return pa.Table.from_arrays(cols, names=names)
+
+        if not left.num_rows:
+            return some(left)
+        filled = np.concatenate([np.asarray(x.value_lengths()) for x in left.column("place").chunks]).cumsum() // STEP
+        cut = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), left.num_rows]
+        return pa.concat_tables([some(left.slice(i, j - i)) for i, j in zip(cut, cut[1:])])
 
     rows = docs.sparkSession.read.schema(made.schema).parquet(path).filter("words IS NULL").select("block", "doc_id", "held_out", "n", "place", "times")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
