@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 The kernel compares words by their common subsequences of three characters, each weighted by
-DECAY to the length it spans, so gaps and inserted characters cost little. Labels exist for
+DECAY to the length it spans, whatever that is, so gaps and inserted characters cost little.
+Neighbouring short fragments are also read as one word. Labels exist for
 texts only: words that occur in far more toxic than clean texts are positive instances, words
 of clean texts negative ones, and negatives that score highest are added and the machine
 trained again. In the space of the landmarks the machine is linear; written out over the
@@ -36,9 +37,9 @@ THRESHOLD = 0.7
 #: Longer words are scored by windows of this many characters at half their distance.
 WINDOW = 24
 #: Word scores below this are all alike.
-FLOOR = -0.25
-#: Subsequences span at most so many characters.
-SPAN = 6
+FLOOR = -0.5
+#: Tokens of at most so many letters and digits are fragments, which also count joined to their neighbours.
+FRAGMENT = 3
 _MARKS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _SIZE = 64**3
 
@@ -52,21 +53,37 @@ def clean_word(raw: str) -> str:
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-cased tokens of a text; three or more letters that stand alone in a row also as one word."""
+    """Distinct lower-cased tokens of a text; fragments in a row also as one word, as are all rows within them that fit a window."""
     listed = (text or "").lower().split()
     found = set(listed)
-    if sum(len(x) == 1 for x in found) > 1:
-        run = ""
-        for x in [*map(clean_word, listed), "  "] if len(found) < len(listed) or len(listed) > 2 else ():
-            if len(x) == 1:
-                run += x
-            elif x:
-                if len(run) > 2:
-                    found.add(run)
-                run = ""
+    short = {x: c for x in found if len(c := clean_word(x)) <= FRAGMENT}
+    if short:
+        run: list[str] = []
+        for x in listed:
+            c = short.get(x)
+            if c is None:
+                if len(run) > 1:
+                    joined(run, found)
+                run = []
+            elif c:
+                run.append(c)
+        if len(run) > 1:
+            joined(run, found)
     return found
 
 
+def joined(run: list[str], found: set[str]) -> None:
+    """Adds the words that a row of fragments makes from each of them on, and the whole row."""
+    for i in range(len(run) - 1):
+        word = run[i]
+        for x in run[i + 1 :]:
+            word += x
+            if len(word) > WINDOW:
+                break
+            found.add(word)
+    found.add("".join(run))
+
+
 #: Characters as 0 to 61; words stand between the marks 62 and 63.
 _CODE = np.arange(1 << 16, dtype=np.int32) % 26 + 36
 _CODE[97:123] = np.arange(26)
@@ -84,8 +101,8 @@ def code_matrix(words: list[str], n: int) -> np.ndarray:
 
 @functools.lru_cache(maxsize=64)
 def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j < k below n with k - i < SPAN, and the weight of each."""
-    at = np.array([(i, i + j, i + k) for i in range(n) for j, k in itertools.combinations(range(1, SPAN), 2) if i + k < n], np.int32).reshape(-1, 3)
+    """All i < j < k below n, and the weight of each."""
+    at = np.array(list(itertools.combinations(range(n), 3)), np.int32).reshape(-1, 3)
     return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
@@ -104,30 +121,47 @@ def parts(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
+def totals(m: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of table times weight over all subsequences of words, a column of codes each."""
+    n = len(m)
+    out = np.zeros(m.shape[1])
+    weight = (DECAY ** np.arange(n + 1)).astype(table.dtype)
+    for i in range(n - 2):
+        for j in range(i + 1, n - 1):
+            out += weight[j - i + 2 : n - i + 1] @ table.take((m[i] * 64 + m[j]) * 64 + m[j + 1 :])
+    return out
+
+
+def norms(m: np.ndarray) -> np.ndarray:
+    """Lengths of the feature vectors of words, a column of codes each: the kernel of each with itself by recursion over positions."""
+    far = np.subtract.outer(np.arange(len(m)), np.arange(len(m)))
+    gap = np.where(far > 0, DECAY ** np.maximum(far, 0), 0.0)
+    same = (m[:, None, :] == m[None, :, :]).transpose(2, 0, 1).astype(np.float64)
+    two = same * (gap @ same @ gap.T)
+    return DECAY * np.sqrt((same * (gap @ two @ gap.T)).sum(axis=(1, 2)))
+
+
 def word_scores(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """max(FLOOR, decision value) of each cleaned word."""
     out = np.full(len(words), FLOOR)
     small = table.astype(np.float32)
-    by: dict[int, list[tuple[int, str]]] = {}
+    by: dict[int, tuple[list[int], list[str]]] = {}
     for i, w in enumerate(words):
         if w:
             for p in parts(w):
-                by.setdefault(len(p), []).append((i, p))
-    for n, group in by.items():
-        at, weight = places(n + 2)
-        least = math.sqrt(float((weight**2).sum()))  # repeated subsequences only make a word longer
-        step = max(1, 1_000_000 // len(at))
-        for s in range(0, len(group), step):
-            some = group[s : s + step]
-            m = code_matrix([p for _, p in some], n)
-            most = np.full(len(some), bias)
-            total = np.zeros(len(some))
-            for i, j, k, w in zip(at[:, 0], at[:, 1], at[:, 2], weight / least):
-                total += small[(m[:, i] * 64 + m[:, j]) * 64 + m[:, k]] * w
-            most += total
-            for k in np.flatnonzero(most > FLOOR):
-                i, p = some[k]
-                out[i] = max(out[i], sum(x * table[u] for u, x in features(p).items()) + bias)
+                at, group = by.setdefault(len(p), ([], []))
+                at.append(i)
+                group.append(p)
+    for n, (at, group) in by.items():
+        _, weight = places(n + 2)
+        least, most = math.sqrt(float((weight**2).sum())), float(weight.sum())  # a word's length lies between: none or all subsequences equal
+        for s in range(0, len(group), 2048):
+            m = np.ascontiguousarray(code_matrix(group[s : s + 2048], n).T, np.intp)
+            sums = totals(m, small)
+            above = np.flatnonzero(np.where(sums > 0, sums / least, sums / most) + bias > FLOOR - 1e-3)  # single precision may err by less
+            if len(above):
+                some = m[:, above]
+                np.maximum.at(out, np.array(at[s : s + 2048])[above], totals(some, table) / norms(some) + bias)
     return out
 
 

@@ -250,6 +250,21 @@ def test_toxic_words_with_gaps():
     assert math.isclose(direct, s["idiot"])
 
 
+def test_toxic_words_with_long_gaps_and_spaces():
+    good = [(w, 1.0) for w in ("idiot", "moron", "worthless", "scum")]
+    bad = [(w, 1.0) for w in ("window", "monday", "worth", "idea", "more", "the", "helyn", "thereon")]
+    table, bias = toxicity.train_words(good, bad)
+    words = ["ixxdxxixxoxxt", "i00d00i00o00t", "mxxxoxxxrxxxoxxxn", "window", "monday", "banana" * 9]
+    s = dict(zip(words, toxicity.word_scores(words, table, bias)))
+    assert min(s[w] for w in words[:3]) > max(s["window"], s["monday"])
+    for w in words:
+        direct = max(sum(x * table[k] for k, x in toxicity.features(p).items()) + bias for p in toxicity.parts(w))
+        assert math.isclose(max(direct, toxicity.FLOOR), s[w], rel_tol=1e-9)
+    for text in ("you id iot", "i d iot", "so, i-d I ot!", "a i d - iot b"):
+        assert "idiot" in toxicity.tokens(text)
+    assert toxicity.tokens("several ordinary words") == {"several", "ordinary", "words"}
+
+
 def test_tiles():
     item = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
     moved = np.array([6, 7, 8, 9, 10, 0, 1, 2, 3, 4, 5])
