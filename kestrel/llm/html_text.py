@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from kestrel.llm import common
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>|([^<]+|<)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>|([^<]+|<)""", re.S
 )
+NAMED = re.compile("/?[a-zA-Z]")
 HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile("[a-z]+")
 #: Elements whose text is never text of the page.
@@ -117,8 +118,8 @@ def parse(text: str) -> Dom:
         m = TOKEN.match(text, at)
         at = m.end()
         if m[4]:
-            if m[4] == "<" and (text[at : at + 1].isalpha() or text[at : at + 1] == "/"):
-                break  # a tag that the page ends in
+            if m[4] == "<" and NAMED.match(text, at):
+                break  # a tag that the page ends in: with a ">" left it were one
             if not dropped:
                 run.append(m[4])
                 linked += len(m[4]) if links else 0

@@ -126,6 +126,8 @@ PAGES = [
     ("<div id=header><h1>Site</h1></div><div id=main-content class='with-sidebar'><h2>T</h2><p>A paragraph of the article, with several words in it.</p></div><section id=comments><h3>Comments</h3>" + "<article class=comment><p>I think that this is what a reader says about the article.</p></article>" * 6 + "</section>", "T\n\nA paragraph of the article, with several words in it."),
     ("<div class=content><h1>T</h1><p>A paragraph of the article, with several words in it.</p></div><div class='col sidebar'><h3>About</h3><p>A paragraph that tells of the site, with several words in it.</p></div>", "T\n\nA paragraph of the article, with several words in it."),
     ("<div>" * 3000 + "<p>deep text in a page</p>", "deep text in a page"),
+    ("<p>a <été> b</p><p>more text</p>", "a <été> b\n\nmore text"), ("<p>a <中文> b</p><p>x <β</p><p>end", "a <中文> b\n\nx <β\n\nend"),
+    ("<p>I </3 it</p> and <b>so</b> on</p><p>more", "I and so on\n\nmore"), ("<p>a </> b</ p> c<p>d", "a b c\n\nd"), ("<p>a < b</p><p>c</p><p>d <b", "a < b\n\nc\n\nd"),
 ]
 
 
