@@ -33,6 +33,11 @@ WORDS = re.compile("[a-z]+")
 #: Elements whose text is never text of the page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp"}
 DROPPED = RAW | {"head", "svg", "math", "canvas", "object", "select", "button", "audio", "video", "datalist"}
+#: Elements that leave a head open, that end a list of choices, and blocks that end a drawing or formula unless within one of INNER.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+NO_CHOICE, CELLS = {"select", "input", "textarea"}, {"caption", "table", "tbody", "tfoot", "thead", "tr", "td", "th"}
+BREAKS = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu ol p pre table ul".split())
+INNER = {"foreignobject", "desc", "annotation-xml", "mtext", "mi", "mo", "mn", "ms"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 KINDS = {
     "article": "article", "main": "article", "body": "root", "html": "root", "div": "box", "section": "box", "center": "box", "td": "cell",
@@ -101,6 +106,11 @@ def parse(text: str) -> Dom:
         stack.append((tag, node))
         opened[tag] += 1
 
+    def leave(tag: str) -> None:
+        """Cuts the stack back to below the outermost open element of a tag."""
+        if opened[tag]:
+            cut(next(k for k, (name, _) in enumerate(stack) if name == tag))
+
     def flush() -> None:
         nonlocal linked
         if run:
@@ -120,6 +130,8 @@ def parse(text: str) -> Dom:
         if m[4]:
             if m[4] == "<" and NAMED.match(text, at):
                 break  # a tag that the page ends in: with a ">" left it were one
+            if dropped and stack[-1][0] == "head" and m[4].strip(" \t\n\f\r"):
+                leave("head")
             if not dropped:
                 run.append(m[4])
                 linked += len(m[4]) if links else 0
@@ -140,6 +152,21 @@ def parse(text: str) -> Dom:
             elif tag == "p":
                 flush()
             continue
+        if dropped:  # end tags that may be left out
+            if tag not in IN_HEAD:
+                leave("head")
+            if tag == "button":
+                leave("button")
+            if opened["select"] and (tag in NO_CHOICE or opened["table"] and tag in CELLS):
+                leave("select")
+                if tag == "select":
+                    continue
+            if opened["svg"] or opened["math"]:
+                if tag in INNER and not m[3].endswith("/"):
+                    push(tag, stack[-1][1])
+                elif tag in BREAKS and not any(opened[x] for x in INNER):
+                    leave("svg")
+                    leave("math")
         if tag in RAW and not m[3].endswith("/"):
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(text, at)
             at = end if stop is None else (text.find(">", stop.end()) + 1 or end)

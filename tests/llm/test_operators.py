@@ -128,6 +128,10 @@ PAGES = [
     ("<div>" * 3000 + "<p>deep text in a page</p>", "deep text in a page"),
     ("<p>a <été> b</p><p>more text</p>", "a <été> b\n\nmore text"), ("<p>a <中文> b</p><p>x <β</p><p>end", "a <中文> b\n\nx <β\n\nend"),
     ("<p>I </3 it</p> and <b>so</b> on</p><p>more", "I and so on\n\nmore"), ("<p>a </> b</ p> c<p>d", "a b c\n\nd"), ("<p>a < b</p><p>c</p><p>d <b", "a < b\n\nc\n\nd"),
+    ("<html><head><title>t</title><meta name=x><body><article><p>Text of a page with an open head.</p></article>", "Text of a page with an open head."),
+    ("<head><title>t</title><style>p{}</style><p>One</p><p>two", "One\n\ntwo"), ("<head>\n<title>t</title>\nWords <i>here</i></head><p>two", "Words here\n\ntwo"),
+    ("<p>a <button>x<button>y</button> b</p><p>a <svg><text>no</text><p>c</p><p>d", "a b\n\na\n\nc\n\nd"), ("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>yes", "yes"),
+    ("<p>a <select><option>x<input> b</p><table><tr><td><select><option>y<td>c</table>", "a b\n\nc"),
 ]
 
 
