@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,22 +88,57 @@ def clean_relations(rows: DataFrame, allowed: list[str] = rules.RELATIONS, least
     return known.filter(ends).withColumn("relation", F.when(F.col("relation").isin(allowed), F.col("relation")).otherwise("RELATED_TO"))
 
 
+def pieces(n: int, cutoff: float) -> tuple[int, list[tuple[int, int]]]:
+    """(most unmatched characters, pieces as (start, end)) of a key of n characters: one piece more, so that one stands whole in a close name."""
+    far = int((1 - cutoff) * (n + int(n * (2 - cutoff) / cutoff + 1e-9)) + 1e-9)
+    at = [n * k // (far + 1) for k in range(far + 2)]
+    return far, list(zip(at, at[1:]))
+
+
+def key_pieces(key: str, cutoff: float) -> list[str]:
+    return [f"{len(key)} {a} {key[a:b]}" for a, b in pieces(len(key), cutoff)[1]]
+
+
+def name_pieces(name: str, cutoff: float) -> list[str]:
+    """Pieces that a key within the cutoff could share with a name, for each length of key and shift."""
+    n, out = len(name), set()
+    for size in range(1, int(n * (2 - cutoff) / cutoff + 1e-9) + 1):
+        if 2 * min(n, size) + 1e-9 >= cutoff * (n + size):
+            far, parts = pieces(size, cutoff)
+            for a, b in parts:
+                out.update(f"{size} {a} {name[at : at + b - a]}" for at in range(max(0, a - far), min(n - b + a, a + far) + 1))
+    return sorted(out)
+
+
+def close_ratio(name: str, key: str, cutoff: float) -> float | None:
+    """The ratio of difflib where it reaches the cutoff."""
+    m = difflib.SequenceMatcher(None, key, name)
+    if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (ratio := m.ratio()) >= cutoff:
+        return ratio
+    return None
+
+
 def match_ends(names: DataFrame, catalog: DataFrame, cutoff: float = 0.92) -> DataFrame:
-    """(name, canonical, how): exact normalised match, else the closest canonical by edit ratio, else a new node.
+    """(name, canonical, how): exact normalised canonical or alias, else the closest of them by difflib's ratio, else a new node.
 
-    Candidates for the close match share the first two letters or the last two and a similar length.
+    Reads (canonical) or (canonical, aliases). A key of several entries stands for the one whose canonical it is, else the least.
+    Unmatched characters of a close pair are few, so one of that many pieces and one more of the key stands whole in the
+    name, shifted by no more: the candidates by pieces are all pairs within the cutoff.
     """
     n = names.select(T.normalize_surface(F.col("name")).alias("name")).distinct()
-    c = catalog.select("canonical").distinct()
-    exact = n.join(c.withColumn("name", F.col("canonical")), "name", "left")
+    keys = catalog.select("canonical", T.normalize_surface(F.col("canonical")).alias("key"), F.lit(0).alias("alias"))
+    if "aliases" in catalog.columns:
+        keys = keys.unionByName(catalog.select("canonical", F.explode("aliases").alias("key")).select("canonical", T.normalize_surface(F.col("key")).alias("key"), F.lit(1).alias("alias")))
+    c = keys.filter("canonical IS NOT NULL AND key <> ''").groupBy("key").agg(F.min_by("canonical", F.struct("alias", "canonical")).alias("canonical"))
+    exact = n.join(c.withColumnRenamed("key", "name"), "name", "left")
     hit = exact.filter("canonical IS NOT NULL").withColumn("how", F.lit("exact"))
     rest = exact.filter("canonical IS NULL").select("name")
-    keys = lambda x: F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(x, 1, 2)), F.concat(F.substring(x, -2, 2), F.lit("$"))))).alias("key")
-    near = rest.select("name", keys(F.col("name"))).join(c.select("canonical", keys(F.col("canonical"))), "key")
-    most = F.greatest(F.length("name"), F.length("canonical"))
-    ratio = 1 - F.levenshtein("name", "canonical") / most
-    near = near.filter(F.abs(F.length("name") - F.length("canonical")) <= (1 - cutoff) * most + 1).withColumn("ratio", ratio).filter(F.col("ratio") >= cutoff)
-    best = near.groupBy("name").agg(F.max_by("canonical", F.struct("ratio", "canonical")).alias("canonical")).withColumn("how", F.lit("close"))
+    of_key = F.udf(lambda x: key_pieces(x, cutoff), "array<string>")
+    of_name = F.udf(lambda x: name_pieces(x, cutoff), "array<string>")
+    ratio = F.udf(lambda x, y: close_ratio(x, y, cutoff), "double")
+    near = rest.select("name", F.explode(of_name("name")).alias("piece")).join(c.select("key", "canonical", F.explode(of_key("key")).alias("piece")), "piece")
+    near = near.select("name", "key", "canonical").distinct().withColumn("ratio", ratio("name", "key")).filter("ratio IS NOT NULL")
+    best = near.groupBy("name").agg(F.max_by("canonical", F.struct("ratio", "key")).alias("canonical")).withColumn("how", F.lit("close"))
     new = rest.join(best, "name", "left_anti").select("name", F.col("name").alias("canonical"), F.lit("new").alias("how"))
     return hit.select("name", "canonical", "how").unionByName(best.select("name", "canonical", "how")).unionByName(new)
 

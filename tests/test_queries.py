@@ -1,5 +1,8 @@
 """Every registered query of the library against its SQL; rules without SQL against expected rows."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,28 @@ def test_embedding_has_the_cells(spark):
     for r in vectors.hash_embed(docs).collect():
         size = sum(x * x for x in cells[r.id].values()) ** 0.5
         assert all(abs(x - cells[r.id].get(i, 0) / (size + 1e-9)) < 1e-6 for i, x in enumerate(r.embedding))
+
+
+def test_close_ends(spark):
+    got = {r.name: (r.canonical, r.how) for r in graph_queries.queries()["jon5_jon6_jon7_match_ends"][0](spark, SF).collect()}
+    assert got["insurers"] == ("insurer", "close") and got["motor vehicle act"] == ("motor vehicles act", "close") and got["unknown thing"][1] == "new"
+    cat = spark.createDataFrame([("Motor Vehicles Act", ["MV Act 1988", "motor law"]), ("motor law", None), ("third party insurer", ["insurer of others"])], "canonical string, aliases array<string>")
+    names = [("mv act 1988",), ("m v act 1988",), ("Motor Law",), ("xhird party insurey",), ("insurer of otherss",), ("",)]
+    got = {r.name: (r.canonical, r.how) for r in relations.match_ends(spark.createDataFrame(names, "name string"), cat).collect()}
+    assert got == {"mv act 1988": ("Motor Vehicles Act", "exact"), "m v act 1988": ("Motor Vehicles Act", "close"), "motor law": ("motor law", "exact"), "xhird party insurey": ("xhird party insurey", "new"), "insurer of otherss": ("third party insurer", "close"), "": ("", "new")}
+
+
+def test_close_ends_are_those_of_difflib(spark):
+    rng = random.Random(5)
+    keys = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 40))).strip() for _ in range(150)} - {""})
+    keys = sorted({" ".join(k.split()) for k in keys})
+    names = set()
+    for k in keys * 6:
+        x = list(k)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        names.add(" ".join("".join(x).split()))
+    got = {r.name: r.canonical for r in relations.match_ends(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(k,) for k in keys], "canonical string")).collect()}
+    want = {x: x if x in keys else (difflib.get_close_matches(x, keys, n=1, cutoff=0.92) or [x])[0] for x in names}
+    assert got == want and sum(x != y for x, y in want.items()) > 100
