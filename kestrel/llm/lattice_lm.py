@@ -13,8 +13,9 @@ Texts differ in language and matter and repeat their words, so `score` sums over
 latent classes: a text is of class k with probability w_k, and the distribution of its words
 has a Dirichlet prior of weight CONCENTRATION whose mean P_k(w) = (c_k(w) + S * P(w)) / (N_k + S)
 shares S = SHARED * N_k with the marginal above. The classes are told apart by a mixture of
-multinomials over hashed words, fitted without labels on at most about CLASS_DOCS training
-texts; their counts c_k are those of all training texts, each in its likeliest class.
+multinomials over hashed words, fitted without labels by passes of expectation-maximisation
+over all training texts, from start values of a sample of them; their counts c_k are those of
+all training texts, each in its likeliest class.
 
 The corpus is read once into blocks: a block's own dictionary and its documents as word
 numbers. Counts are summed over all dictionaries by word and joined back to them, and a
@@ -45,8 +46,10 @@ STEP = 400_000
 CONCENTRATION = 3000.0
 #: Latent classes (a byte of a long each), and the weight of all texts against those of a class.
 CLASSES, SHARED = 8, 0.15
-#: Classes are fitted on about so many training texts, over so many hashes of words.
+#: Classes start from about so many training texts; words are hashed to so many buckets.
 CLASS_DOCS, BUCKETS = 2000, 1 << 13
+#: Passes over all training texts: at most so many, fewer if the likelihood gains less than this share of itself.
+PASSES, GAIN = 6, 1e-4
 START = "▁"
 _STOP = 0.3
 _SMOOTH = 0.02
@@ -225,28 +228,83 @@ def mixture(x: np.ndarray, classes: int = CLASSES, rounds: int = 25, starts: int
     return np.ascontiguousarray(best[1].T, np.float32)
 
 
-def classes(docs: DataFrame, learning: int, most: int = CLASS_DOCS) -> np.ndarray:
-    """The mixture fitted on about `most` of the `learning` training texts, chosen by a hash of their ids."""
+_COUNTS = [f"c{k}" for k in range(CLASSES)]
+
+
+def bucket_counts(docs: DataFrame) -> DataFrame:
+    """Buckets of the words of each training text and their counts."""
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            found = []
+            ids, times = [], []
             for text in batch.column(0).to_pylist():
-                n = np.bincount(hashed((text or "").encode("utf-8", "replace").lower().split()), minlength=BUCKETS)
-                ids = np.flatnonzero(n)
-                found.append(np.array([ids, n[ids]], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["counts"])
+                words = (text or "").encode("utf-8", "replace").lower().split()
+                if len(known) > 500_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = zlib.crc32(w) % BUCKETS
+                n = np.bincount(np.fromiter(map(known.__getitem__, words), np.int32, len(words)), minlength=BUCKETS)
+                ids.append(np.flatnonzero(n).astype(np.int32))
+                times.append(n[ids[-1]].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, ints), pa.array(times, ints)], names=["ids", "times"])
+
+    return docs.filter("learns").select("text").mapInArrow(run, "ids array<int>, times array<int>")
+
+
+def one_pass(counts: DataFrame, logs: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected counts of buckets by class, expected texts by class and the log likelihood, summed over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BUCKETS + 2, CLASSES))  # the last rows: texts, log likelihood
+        prior = np.log(share)
+        for batch in batches:
+            lists, rows = batch.column(0), batch.num_rows
+            ids, times = np.asarray(lists.flatten()), np.asarray(batch.column(1).flatten(), np.float64)
+            row = np.repeat(np.arange(rows), np.asarray(lists.value_lengths()))
+            g = np.stack([np.bincount(row, logs[ids, k] * times, rows) for k in range(CLASSES)], axis=1) + prior
+            most = g.max(axis=1, keepdims=True)
+            z = np.exp(g - most)
+            total = z.sum(axis=1, keepdims=True)
+            z /= total
+            for k in range(CLASSES):
+                sums[:BUCKETS, k] += np.bincount(ids, z[row, k] * times, BUCKETS)
+            sums[BUCKETS] += z.sum(axis=0)
+            sums[BUCKETS + 1, 0] += float((most + np.log(total)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 2, dtype=np.int32)), *[pa.array(x) for x in sums.T]], names=["bucket", *_COUNTS])
+
+    made = counts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in _COUNTS))
+    out = np.zeros((BUCKETS + 2, CLASSES))
+    for r in made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS]).collect():  # a row for each bucket
+        out[r["bucket"]] = r[1:]
+    return out[:BUCKETS], out[BUCKETS], float(out[BUCKETS + 1, 0])
+
 
-    some = docs.filter("learns").filter(common.chance(F.col("doc_id"), 7) < min(1.0, most / max(1, learning)))
-    rows = sorted(bytes(r["counts"]) for r in some.select("text").mapInArrow(run, "counts binary").limit(2 * most).collect())  # bounded by texts and buckets
+def classes(docs: DataFrame, learning: int, most: int = CLASS_DOCS) -> np.ndarray:
+    """The mixture fitted on all `learning` training texts, from start values of about `most` of them, chosen by a hash of their words."""
+    if not learning:
+        return mixture(np.zeros((0, BUCKETS), np.float32))
+    counts, path = common.written(bucket_counts(docs), "buckets")
+    some = counts.filter(common.chance(F.xxhash64("ids", "times"), 7) < min(1.0, most / learning)).distinct()  # equal texts once
+    rows = sorted((r["ids"], r["times"]) for r in some.collect())
     x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        ids, n = np.frombuffer(r, np.int32).reshape(2, -1)
+    for i, (ids, n) in enumerate(rows):
         x[i, ids] = n
-    return mixture(x)
+    logs, share, before = mixture(x).astype(np.float64), np.full(CLASSES, 1 / CLASSES), -math.inf
+    for _ in range(PASSES):
+        sums, texts, fit = one_pass(counts, logs, share)
+        share = (texts + 1) / (learning + CLASSES)
+        theta = sums + 0.5 * (sums.sum(axis=1, keepdims=True) / learning + 1e-3)
+        logs = np.log(theta / theta.sum(axis=0))
+        if fit - before < GAIN * abs(fit):
+            break
+        before = fit
+    common.discard(docs.sparkSession, path)
+    return np.ascontiguousarray(logs, np.float32)
 
 
-_COUNTS = [f"c{k}" for k in range(CLASSES)]
 _ROW = "block long, doc_id {id}, held_out boolean, class int, n long, place array<int>, times array<int>, words array<string>, " + ", ".join(f"{c} array<int>" for c in _COUNTS)
 
 

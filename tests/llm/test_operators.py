@@ -220,6 +220,17 @@ def test_mixture_tells_classes_apart():
     assert not lattice_lm.mixture(x[:0]).any()
 
 
+def test_classes_learn_from_all_texts(spark):
+    own = [f"w{i}".encode() for i in range(300)]
+    rows = [(i, f"a b c {' '.join([w.decode()] * 20)}", True) for i, w in enumerate(own)] + [(7, "once " * 50, True)] * 40 + [(None, None, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learns boolean")
+    logs = lattice_lm.classes(docs, 340, most=20)
+    assert logs.shape == (lattice_lm.BUCKETS, lattice_lm.CLASSES) and np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-3)
+    assert np.exp(logs[lattice_lm.hashed(own)]).max(axis=1).min() > 0.5 * 20 / (300 * 23 + 40 * 50)
+    assert np.allclose(logs, lattice_lm.classes(docs.repartition(5, "text"), 340, most=20), atol=1e-3)
+    assert not lattice_lm.classes(docs.filter("NOT learns"), 0).any()
+
+
 def test_op7_words_without_probability(spark):
     rows = [(k, "a b a", k < 3, k >= 3) for k in range(4)] + [(9, "x" * 100000 + " a", False, True), (None, None, False, False)]
     got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean, held_out boolean")).collect()}
