@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", leaf: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, leaf)
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = own.encode([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
@@ -191,7 +191,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             text = own.decode([x or [] for x in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(text, pa.string())], names=[*keep, "decoded"])
 
@@ -204,7 +204,7 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             text = own.decode(ids)
             cols = [[len(x) for x in ids], [own.digest(x) for x in ids], [hashlib.sha256(t.encode()).hexdigest() for t in text]]
@@ -215,11 +215,9 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of the tokens and of the decoded text of every document. Null and empty texts have no tokens."""
-    common.small_batches(spark, 500)
     return digests(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: the digests of every document kept."""
-    common.small_batches(spark, 500)
     return digests(docs)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
+import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more rows than this share of a table, or than KEY_ROWS, is joined apart.
+HOT_SHARE, KEY_ROWS = 10_000, 10_000
 #: Characters that separate words (space and x09-x0D); bytes.split() splits on the same.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -19,15 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and, but for single rows, about `most` bytes: what a worker turns into Python objects at once.
+
+    Spark bounds the bytes of a batch itself (spark.sql.execution.arrow.maxBytesPerBatch); no setting of the session is changed.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * most // max(1, batch.get_total_buffer_size())))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or on a local master an own one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="kestrel-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own
@@ -35,8 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@functools.cache
+def _folder(base: str, application: str) -> str:
+    """The scratch folder of an application, deleted as the driver ends: results that are read lazily need their tables until then."""
+    path = f"{base}/kestrel/{application}"
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        where = session._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(session._jsc.hadoopConfiguration())
+        atexit.register(_delete, system, where)
+    return path
+
+
+def _delete(system, where) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        system.delete(where, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/kestrel/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -53,6 +85,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tokenizer(name: str) -> str:
+    """Where a file of the public tokenizers lies; a path with a folder is taken as it is."""
+    if os.path.dirname(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(key: Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(key.cast("string").cast("binary")) % of
@@ -84,3 +125,19 @@ def masked(docs: DataFrame, *needed: str) -> DataFrame:
 
 def unmasked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with `found`, which has each key once with the number `n` of its rows; `n` is left out.
+
+    Keys of more than KEY_ROWS rows and more than 1 / HOT_SHARE of all rows number HOT_SHARE at
+    most. These few are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(KEY_ROWS, total // HOT_SHARE)
+    hot = found.filter(F.col("n") > limit).drop("n")
+    cool = found.filter(F.col("n") <= limit).drop("n")
+    if hot.isEmpty():
+        return rows.join(cool, key, how)
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cool, key, how))

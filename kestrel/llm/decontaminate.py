@@ -181,7 +181,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cove
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             look = Codes(block.vocab)
-            for batch in batches:
+            for batch in common.slices(batches):
                 found = [(r, *x) for r, text in enumerate(batch.column(1).to_pylist()) for x in found_in(text, block, look, coverage)]
                 if found:
                     r, k, c, n, m = zip(*found)
@@ -200,7 +200,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             look = Codes(block.vocab)
-            for batch in batches:
+            for batch in common.slices(batches):
                 yield batch.filter(pa.array([not found_in(t, block, look, coverage) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -209,11 +209,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with each item's coverage."""
-    common.small_batches(spark)
     return scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no benchmark item reaches the coverage."""
-    common.small_batches(spark)
     return clean(docs, common.table(spark, sf_dir, "benchmark"))

@@ -415,7 +415,7 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trained()
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [model.text(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=[*keep, "text", "n_chars"])
 
@@ -424,5 +424,4 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
     """Main text of every page. Null and empty pages give an empty text; repeated rows a row each."""
-    common.small_batches(spark)
     return extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])

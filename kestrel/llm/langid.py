@@ -58,7 +58,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in common.slices(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text), minlength=BUCKETS)
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
         return langs[k], min(1.0, float(w[k])), " ".join(f"{langs[i]}:{w[i]:.3f}" for i in np.argsort(-w, kind="stable") if w[i] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [guess(t) for t in batch.column(0).to_pylist()]
             extra = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *extra], names=[*keep, "lang_pred", "score", "mixture"])
@@ -141,7 +141,6 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every document; learned from labelled rows of the other two folds."""
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(common.learns(F.col("doc_id"), 3, 1)))
     out = predict(docs.select("doc_id", "text"), model, ["doc_id"])
@@ -154,7 +153,6 @@ MIN_SHARE = 0.5
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose main language is determined and holds at least MIN_SHARE of the text."""
-    common.small_batches(spark)
     model = fit(docs.filter(common.learns(F.col("doc_id"), 3, 1)))
     kept = predict(common.masked(docs, "text"), model).filter(F.col("lang_pred") != UNDETERMINED).filter(F.col("score") >= MIN_SHARE)
     return common.unmasked(kept, docs.columns)

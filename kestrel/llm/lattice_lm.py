@@ -1,58 +1,46 @@
 """Language-model scoring by the marginal likelihood of a subword lattice.
 
-A text is its lower-cased words and one end token. Every word is a lattice: one arc for the
-whole word, weighted by its count in the training texts, and arcs for all pieces of an
-existing vocabulary. Their existing scores (ranks, read as a Zipf law) weight the pieces at
-first; one round of expectation-maximisation over all distinct training words refits them.
-The forward recursion in log space sums over all segmentations. A whole word has mass
-N / (N + V) in all and spelled words V / (N + V) (N tokens, V distinct ones in training), so
-P(w) = (c(w) + V * P_pieces(w)) / (N + V). No piece crosses a word, so the marginal
-probability of a text's words is the product of their marginals (lattice_score).
-
-Texts differ in language and matter and repeat their words, so `score` sums over CLASSES
-latent classes: a text is of class k with probability w_k, and the distribution of its words
-has a Dirichlet prior of weight CONCENTRATION whose mean P_k(w) = (c_k(w) + S * P(w)) / (N_k + S)
-shares S = SHARED * N_k with the marginal above. The classes are told apart by a mixture of
-multinomials over hashed words, fitted without labels by passes of expectation-maximisation
-over all training texts, from start values of a sample of them; their counts c_k are those of
-all training texts, each in its likeliest class.
-
-The corpus is read once into blocks: a block's own dictionary and its documents as word
-numbers. Counts are summed over all dictionaries by word and joined back to them, and a
-block meets its dictionary again by its number, so no task holds more than a block.
+A text is its lower-cased words and one end token. The lattice of a text has arcs of three
+lengths. Pieces of an existing vocabulary carry their existing scores (ranks, read as a Zipf
+law) and spell any word. A word of the training texts also has an arc of its own, weighted by
+its count c: P(w) = (c - d) / N + d * V / N * P_pieces(w), N training tokens of V kinds. So has
+a phrase, the words up to and with one whose hash is divisible by PHRASE: P(p) = (k - e) / M +
+e * U / M * product of its P(w), where k counts the phrase among M training phrases of U kinds.
+The discounts d and e are estimated from the numbers of kinds seen once and twice. No arc
+crosses a phrase, so the forward recursion in log space over the arcs of each phrase, which
+sums over all segmentations, gives the marginal probability of the document (`score`).
+
+The corpus is read once into blocks: a block's own dictionaries of words and phrases, and its
+documents as their numbers. Counts are summed over all dictionaries by word and by phrase (told
+apart by 64-bit hashes) and joined back to them, and a block meets its dictionaries again by
+its number, so no task holds more than a few blocks.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm import common
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = "piece_bpe_32k.model"
 #: A block ends with the text that brings it to so many distinct words or bytes.
 BLOCK_WORDS, BLOCK_BYTES = 600_000, 32 << 20
-#: Texts of a block are scored in steps of about so many distinct words, which bounds memory.
-STEP = 400_000
-#: Weight of the corpus against a text's own words.
-CONCENTRATION = 3000.0
-#: Latent classes (a byte of a long each), and the weight of all texts against those of a class.
-CLASSES, SHARED = 8, 0.15
-#: Classes start from about so many training texts; words are hashed to so many buckets.
-CLASS_DOCS, BUCKETS = 2000, 1 << 13
-#: Passes over all training texts: at most so many, fewer if the likelihood gains less than this share of itself.
-PASSES, GAIN = 6, 1e-4
+#: Texts of a block are scored in steps of about so many tokens, which bounds memory.
+STEP = 1_000_000
+#: A phrase ends with a word whose hash is divisible by this: its mean length.
+PHRASE = 16
 START = "▁"
 _STOP = 0.3
-_SMOOTH = 0.02
 _LN10 = math.log(10)
 
 
@@ -60,7 +48,7 @@ def vocabulary(path: str = PIECES) -> dict[str, float]:
     """Pieces and their log probabilities from their existing scores: the k-th best has mass in proportion to 1 / (k + 10)."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer(path))
     usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     ranked = sorted(usable, key=lambda i: (-sp.get_score(i), i))
     return {sp.id_to_piece(i): -math.log(k + 10) for k, i in enumerate(ranked)}
@@ -94,53 +82,6 @@ class Lattice:
             later.setdefault(f"<0x{b:02X}>", min(pieces.values()))
         return cls(_norm(first), _norm(later, 1 - _STOP), math.log(_STOP))
 
-    @classmethod
-    def refitted(cls, old: Lattice, counts: dict[tuple[int, str], float], words: float) -> Lattice:
-        """From expected counts of pieces (0: first, 1: later); every piece keeps some mass."""
-        first = {p: math.log(counts.get((0, p), 0.0) + _SMOOTH) for p in old.first}
-        later = {p: math.log(counts.get((1, p), 0.0) + _SMOOTH) for p in old.later}
-        n = sum(map(math.exp, later.values()))
-        stop = (words + 1.0) / (words + 1.0 + n)
-        return cls(_norm(first), _norm(later, 1 - stop), math.log(stop))
-
-    def arcs(self, s: str) -> list[list[tuple[int, float, object]]]:
-        """For each place: (next place, log probability, piece or pieces)."""
-        out, n = [], len(s)
-        for i in range(n):
-            table = self.walk_later if i else self.walk_first
-            here, j = [], i + 1
-            while j <= n:
-                part = s[i:j]
-                lp = table.get(part, 1.0)
-                if lp is not None:
-                    if lp > 0.0:  # no piece begins so
-                        break
-                    here.append((j, lp, part))
-                j += 1
-            if i and table.get(s[i]) is None:
-                spelled = [f"<0x{b:02X}>" for b in s[i].encode("utf-8", "replace")]
-                here.append((i + 1, sum(self.later[b] for b in spelled), spelled))
-            out.append(here)
-        return out
-
-    def forward(self, arcs: list) -> list[float]:
-        """Log sums over all segmentations of each prefix."""
-        alpha = [0.0] + [-math.inf] * len(arcs)
-        exp, log1p = math.exp, math.log1p
-        for i, here in enumerate(arcs):
-            a = alpha[i]
-            if a == -math.inf:
-                continue
-            for j, lp, _ in here:
-                x, y = a + lp, alpha[j]
-                if y == -math.inf:
-                    alpha[j] = x
-                elif x > y:
-                    alpha[j] = x + log1p(exp(y - x))
-                else:
-                    alpha[j] = y + log1p(exp(x - y))
-        return alpha
-
     def log_prob(self, word: str) -> float:
         """Natural log of the marginal probability of a word: the forward recursion without keeping the arcs."""
         s = START + word
@@ -171,312 +112,180 @@ class Lattice:
                 alpha[j] = x if y is None else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
         return alpha[n] + self.stop
 
-    def expected(self, word: str, counts: dict) -> None:
-        """Adds the expected counts of the pieces of one word."""
-        arcs = self.arcs(START + word)
-        alpha, n = self.forward(arcs), len(arcs)
-        beta = [0.0] * (n + 1)  # relative to the whole: exp(alpha + lp + beta) is the mass of an arc
-        exp, total, none = math.exp, alpha[n], -math.inf
-        beta[n] = -total
-        for i in range(n - 1, -1, -1):
-            a, mass = alpha[i], 0.0
-            if a == none:
-                continue
-            for j, lp, piece in arcs[i]:
-                w = exp(a + lp + beta[j])
-                mass += w
-                if w > 1e-9:
-                    for p in (piece,) if isinstance(piece, str) else piece:
-                        counts[i > 0, p] += w
-            beta[i] = math.log(mass) - a if mass > 0.0 else none
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Natural log of the gamma function for x >= 1, by Stirling's series at x + 8."""
-    y = x + 8.0
-    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - 691 / (360360 * y**11)
-    for k in range(8):
-        out = out - np.log(x + k)
-    return out
-
-
-def hashed(words) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
-
-
-def mixture(x: np.ndarray, classes: int = CLASSES, rounds: int = 25, starts: int = 2) -> np.ndarray:
-    """Log probability of each bucket (rows) in each class from counts of texts, by expectation-maximisation from fixed seeds."""
-    rng, best = np.random.default_rng(0), None
-    if not len(x):
-        return np.zeros((BUCKETS, classes), np.float32)
-    flat = x.mean(axis=0) + 1e-3
-    for _ in range(starts):
-        theta = x[rng.choice(len(x), 8 * classes)].reshape(classes, 8, -1).sum(axis=1) + 50 * flat
-        share = np.full(classes, 1 / classes)
-        for _ in range(rounds):
-            logs = np.log(theta / theta.sum(axis=1, keepdims=True))
-            g = x @ logs.T.astype(np.float32) + np.log(share)
-            most = g.max(axis=1, keepdims=True)
-            z = np.exp(g - most)
-            total = z.sum(axis=1, keepdims=True)
-            z /= total
-            share = (z.sum(axis=0) + 1) / (len(x) + classes)
-            theta = z.T @ x + 0.5 * flat
-        fit = float((most + np.log(total)).sum())
-        if best is None or fit > best[0]:
-            best = fit, logs
-    return np.ascontiguousarray(best[1].T, np.float32)
 
+class _Numbers(dict):
+    """Numbers in the order of first use."""
 
-_COUNTS = [f"c{k}" for k in range(CLASSES)]
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """Buckets of the words of each training text and their counts."""
-    ints = pa.list_(pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            ids, times = [], []
-            for text in batch.column(0).to_pylist():
-                words = (text or "").encode("utf-8", "replace").lower().split()
-                if len(known) > 500_000:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = zlib.crc32(w) % BUCKETS
-                n = np.bincount(np.fromiter(map(known.__getitem__, words), np.int32, len(words)), minlength=BUCKETS)
-                ids.append(np.flatnonzero(n).astype(np.int32))
-                times.append(n[ids[-1]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, ints), pa.array(times, ints)], names=["ids", "times"])
-
-    return docs.filter("learns").select("text").mapInArrow(run, "ids array<int>, times array<int>")
+_ROW = "block long, doc_id {id}, held_out boolean, seq array<int>, cut array<int>, phrase array<int>, first int, words array<string>, keys array<long>, c array<int>"
 
 
-def one_pass(counts: DataFrame, logs: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected counts of buckets by class, expected texts by class and the log likelihood, summed over all texts."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows of documents (numbers of their words in order, lengths and numbers of their phrases), and of dictionaries.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((BUCKETS + 2, CLASSES))  # the last rows: texts, log likelihood
-        prior = np.log(share)
-        for batch in batches:
-            lists, rows = batch.column(0), batch.num_rows
-            ids, times = np.asarray(lists.flatten()), np.asarray(batch.column(1).flatten(), np.float64)
-            row = np.repeat(np.arange(rows), np.asarray(lists.value_lengths()))
-            g = np.stack([np.bincount(row, logs[ids, k] * times, rows) for k in range(CLASSES)], axis=1) + prior
-            most = g.max(axis=1, keepdims=True)
-            z = np.exp(g - most)
-            total = z.sum(axis=1, keepdims=True)
-            z /= total
-            for k in range(CLASSES):
-                sums[:BUCKETS, k] += np.bincount(ids, z[row, k] * times, BUCKETS)
-            sums[BUCKETS] += z.sum(axis=0)
-            sums[BUCKETS + 1, 0] += float((most + np.log(total)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 2, dtype=np.int32)), *[pa.array(x) for x in sums.T]], names=["bucket", *_COUNTS])
-
-    made = counts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in _COUNTS))
-    out = np.zeros((BUCKETS + 2, CLASSES))
-    for r in made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS]).collect():  # a row for each bucket
-        out[r["bucket"]] = r[1:]
-    return out[:BUCKETS], out[BUCKETS], float(out[BUCKETS + 1, 0])
-
-
-def classes(docs: DataFrame, learning: int, most: int = CLASS_DOCS) -> np.ndarray:
-    """The mixture fitted on all `learning` training texts, from start values of about `most` of them, chosen by a hash of their words."""
-    if not learning:
-        return mixture(np.zeros((0, BUCKETS), np.float32))
-    counts, path = common.written(bucket_counts(docs), "buckets")
-    some = counts.filter(common.chance(F.xxhash64("ids", "times"), 7) < min(1.0, most / learning)).distinct()  # equal texts once
-    rows = sorted((r["ids"], r["times"]) for r in some.collect())
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (ids, n) in enumerate(rows):
-        x[i, ids] = n
-    logs, share, before = mixture(x).astype(np.float64), np.full(CLASSES, 1 / CLASSES), -math.inf
-    for _ in range(PASSES):
-        sums, texts, fit = one_pass(counts, logs, share)
-        share = (texts + 1) / (learning + CLASSES)
-        theta = sums + 0.5 * (sums.sum(axis=1, keepdims=True) / learning + 1e-3)
-        logs = np.log(theta / theta.sum(axis=0))
-        if fit - before < GAIN * abs(fit):
-            break
-        before = fit
-    common.discard(docs.sparkSession, path)
-    return np.ascontiguousarray(logs, np.float32)
-
-
-_ROW = "block long, doc_id {id}, held_out boolean, class int, n long, place array<int>, times array<int>, words array<string>, " + ", ".join(f"{c} array<int>" for c in _COUNTS)
-
-
-def blocks(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """Rows of documents (place and times of their distinct words) and rows of dictionaries (words and training counts by class).
-
-    Reads (doc_id, text, learns, held_out). `class` is null for texts that are not learned from.
+    A row of a dictionary has the words or the hashes of the phrases with numbers from `first` on, and
+    their counts in training texts. Reads (doc_id, text, learns, held_out).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ints = pa.list_(pa.int32())
+    ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+    names = [x.split()[0] for x in _ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, key = TaskContext.get().partitionId() << 24, None
-        words: dict[bytes, int] = {}
-        train, bucket = np.zeros((1 << 16, CLASSES), np.int32), np.zeros(1 << 16, np.int32)
-        size = 0
+        at, size, key = TaskContext.get().partitionId() << 24, 0, None
+        words, phrases = _Numbers(), _Numbers()
+        ends = np.zeros(1 << 16, bool)  # whether a word ends a phrase
+        known = 0
+        learned: tuple[list, list] = [], []  # numbers of words and phrases in training texts
         rows: list[tuple] = []
 
-        def docs_out() -> pa.RecordBatch:
-            r = list(zip(*rows))
-            rows.clear()
-            n = len(r[0])
-            cols = [pa.array(x, t) for x, t in zip(r, (pa.int64(), key, pa.bool_(), pa.int32(), pa.int64(), ints, ints))]
-            return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.string())), *[pa.nulls(n, ints)] * CLASSES], names=names)
+        def batch_of(n: int, **cols: pa.Array) -> pa.RecordBatch:
+            kinds = dict(zip(names, (pa.int64(), key, pa.bool_(), ints, ints, ints, pa.int32(), strings, longs, ints)))
+            return pa.RecordBatch.from_arrays([cols[x] if x in cols else pa.nulls(n, t) for x, t in kinds.items()], names=names)
+
+        def docs_out() -> Iterator[pa.RecordBatch]:
+            if rows:
+                doc, held, seq, cut, phrase = zip(*rows)
+                n = len(rows)
+                rows.clear()
+                yield batch_of(n, block=pa.array([at] * n, pa.int64()), doc_id=pa.array(doc, key), held_out=pa.array(held, pa.bool_()), seq=pa.array(seq, ints), cut=pa.array(cut, ints), phrase=pa.array(phrase, ints))
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            listed = [w.decode("utf-8") for w in words]
             step = 8192
-            parts = range(0, len(listed), step)
-            n = len(parts)
-            if n:
-                cols = [pa.array([at] * n, pa.int64()), pa.nulls(n, key), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int32()), pa.array(parts, pa.int64()), pa.nulls(n, ints), pa.nulls(n, ints), pa.array([listed[i : i + step] for i in parts], pa.list_(pa.string()))]
-                cols += [pa.array([train[i : min(i + step, len(listed)), k] for i in parts], ints) for k in range(CLASSES)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        for batch in batches:
+            for found, seen, name in ((words, learned[0], "words"), (phrases, learned[1], "keys")):
+                listed = [w.decode("utf-8") for w in found] if name == "words" else list(found)
+                count = np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=len(listed)).astype(np.int32)
+                parts = range(0, len(listed), step)
+                if parts:
+                    n = len(parts)
+                    values = pa.array([listed[i : i + step] for i in parts], strings if name == "words" else longs)
+                    yield batch_of(n, block=pa.array([at] * n, pa.int64()), first=pa.array(parts, pa.int32()), c=pa.array([count[i : i + step] for i in parts], ints), **{name: values})
+
+        for batch in common.slices(batches):
             key = batch.schema.field(0).type
             for doc, text, learns, held in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 b = (text or "").encode("utf-8", "replace").lower()
-                own, before = Counter(b.split()), len(words)
-                place = np.array([words.setdefault(w, len(words)) for w in own], np.int32)
-                times = np.fromiter(own.values(), np.int32, len(own))
-                if len(words) > len(train):
-                    more = max(len(train), len(words))
-                    train, bucket = np.concatenate([train, np.zeros((more, CLASSES), np.int32)]), np.concatenate([bucket, np.zeros(more, np.int32)])
-                if len(words) > before:
-                    listed = list(own)
-                    new = np.flatnonzero(place >= before)
-                    bucket[place[new]] = hashed([listed[i] for i in new.tolist()])
-                k = None
+                listed = b.split()
+                seq = np.fromiter(map(words.__getitem__, listed), np.int32, len(listed))
+                if len(words) > known:
+                    if len(words) > len(ends):
+                        ends = np.concatenate([ends, np.zeros(max(len(ends), len(words)), bool)])
+                    for i in np.flatnonzero(seq >= known).tolist():
+                        ends[seq[i]] = zlib.crc32(listed[i]) % PHRASE == 0
+                    known = len(words)
+                stop = np.flatnonzero(ends[seq]) + 1
+                if len(seq) and (not len(stop) or stop[-1] < len(seq)):
+                    stop = np.append(stop, len(seq))
+                start = [0, *stop[:-1].tolist()] if len(stop) else []
+                hashes = [xxhash.xxh64_intdigest(b" ".join(listed[i:j])) - (1 << 63) for i, j in zip(start, stop.tolist())]
+                phrase = np.fromiter(map(phrases.__getitem__, hashes), np.int32, len(hashes))
                 if learns:
-                    k = int(np.argmax(times.astype(np.float32) @ logs[bucket[place]]))
-                    train[place, k] += times
+                    learned[0].append(seq)
+                    learned[1].append(phrase)
                 size += len(b)
-                rows.append((at, doc, held, k, int(times.sum()) + 1, place, times))
+                rows.append((doc, held, seq, np.diff(stop, prepend=0).astype(np.int32), phrase))
                 if len(words) >= BLOCK_WORDS or size >= BLOCK_BYTES:
-                    yield docs_out()
+                    yield from docs_out()
                     yield from dictionary()
-                    words, size, at = {}, 0, at + 1
-                    train, bucket = np.zeros((1 << 16, CLASSES), np.int32), np.zeros(1 << 16, np.int32)
-            if rows:
-                yield docs_out()
+                    words, phrases, learned, known, size, at = _Numbers(), _Numbers(), ([], []), 0, 0, at + 1
+                    ends = np.zeros(1 << 16, bool)
+            yield from docs_out()
         yield from dictionary()
 
-    names = [x.split()[0] for x in _ROW.split(", ")]
     return docs.select("doc_id", "text", "learns", "held_out").mapInArrow(run, _ROW.format(id=kind))
 
 
-def refit(vocab: DataFrame, lattice: Lattice) -> Lattice:
-    """One round of expectation-maximisation over the distinct training words."""
-    out = pa.schema([("part", pa.int32()), ("piece", pa.string()), ("n", pa.float64())])
+def summed(dictionaries: DataFrame, column: str, tag: str) -> tuple[DataFrame, dict]:
+    """(key, c) of all words or phrases with their training counts, and what the discount needs: n, kinds, and kinds seen once and twice."""
+    pairs = dictionaries.filter(F.col(column).isNotNull()).selectExpr(f"explode(arrays_zip({column}, c)) AS x").select(F.col(f"x.{column}").alias("key"), "x.c")
+    table, _ = common.written(pairs.groupBy("key").agg(F.sum("c").alias("c")), tag)
+    return table, table.selectExpr("coalesce(sum(c), 0) AS n", "count_if(c > 0) AS kinds", "count_if(c = 1) AS once", "count_if(c = 2) AS twice").first().asDict()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict = Counter()
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                lattice.expected(w, counts)
-        yield common.arrow(out, [[int(k[0]) for k in counts], [k[1] for k in counts], list(counts.values())])
 
-    known = vocab.filter("c > 0")
-    sums = known.select("word").mapInArrow(run, "part int, piece string, n double").groupBy("part", "piece").agg(F.sum("n").alias("n"))
-    return Lattice.refitted(lattice, {(r["part"], r["piece"]): r["n"] for r in sums.collect()}, float(known.count()))  # pieces of a fixed vocabulary
+def discount(once: int, twice: int) -> float:
+    """What is taken off each count: the Good-Turing estimate, kept between 0 and 1."""
+    return (once + 1) / (once + 2 * twice + 2)
 
 
 def score(docs: DataFrame, pieces: str = PIECES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row of (doc_id, text, learns, held_out).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of (doc_id, text, learns, held_out).
 
     Scores are log10 probabilities. A null text is empty: its end token alone is scored. Without training rows every word is
     spelled and the end token is certain; repeated rows give a row each.
     """
+    spark = docs.sparkSession
     ends = docs.filter("learns").count()
-    made, path = common.written(blocks(docs, classes(docs, ends)), "blocks")
-    dictionaries = made.filter("words IS NOT NULL")
-    counted = dictionaries.selectExpr(f"explode(arrays_zip(words, {', '.join(_COUNTS)})) AS x").select("x.*").groupBy(F.col("words").alias("word")).agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    shares = " | ".join(f"shiftleft(CAST(round(255 * {c} / c) AS BIGINT), {8 * k})" for k, c in enumerate(_COUNTS))
-    vocab, _ = common.written(counted.withColumn("c", sum(map(F.col, _COUNTS))).selectExpr("word", "c", f"CASE WHEN c > 0 THEN {shares} ELSE 0L END AS shares"), "vocab")
-    mass = [f"coalesce(sum(c * (shiftrightunsigned(shares, {8 * k}) & 255)), 0) / 255D AS n{k}" for k in range(CLASSES)]
-    sums = vocab.selectExpr("coalesce(sum(c), 0) AS n", "count_if(c > 0) AS v", *mass).first()
-    n_train, n_types = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
-    texts = {r["class"]: r["n"] for r in made.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n")).collect()}
-    texts = np.array([texts.get(k, 0) for k in range(CLASSES)], np.float64)
-    in_class = np.array([float(sums[f"n{k}"]) for k in range(CLASSES)]) + texts
-    prior = np.log((texts + 1) / (texts.sum() + CLASSES))
+    made, path = common.written(blocks(docs), "blocks")
+    dictionaries = made.filter("doc_id IS NULL AND seq IS NULL")
+    vocab, told = summed(dictionaries, "words", "vocab")
+    repeated, heard = summed(dictionaries, "keys", "phrases")
+    n_train, n_types = int(told["n"]) + ends, int(told["kinds"]) + (ends > 0)
+    less, less_phrase = discount(told["once"], told["twice"]), discount(heard["once"], heard["twice"])
+    escape = math.log(less * n_types / n_train) if n_train else 0.0
+    escape_phrase, n_phrases = math.log10(less_phrase * heard["kinds"] / heard["n"]) if heard["n"] else 0.0, heard["n"]
     lattice = Lattice.existing(vocabulary(pieces))
-    if n_types > 1:
-        lattice = refit(vocab, lattice)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = np.asarray(batch.column(1), np.float64)
-            lp = np.array([lattice.log_prob(w) for w in batch.column(0).to_pylist()])
+            lp = np.array([lattice.log_prob(w) for w in batch.column(0).to_pylist()]) + escape
             if n_train:
                 with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(np.log(c), lp + math.log(n_types)) - math.log(n_train + n_types)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((lp / _LN10).astype(np.float32))], names=["word", "c", "shares", "lp"])
+                    lp = np.logaddexp(np.log(np.maximum(c - less, 0.0) / n_train), lp)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp / _LN10)], names=["key", "c", "lp"])
+
+    def numbers(column: str, sign: str) -> DataFrame:
+        """block, place and key of each entry of the dictionaries; phrases have places below zero."""
+        each = dictionaries.filter(F.col(column).isNotNull()).selectExpr("block", "first", f"posexplode({column}) AS (i, key)")
+        return each.selectExpr("block", f"CAST({sign}(first + i) AS INT) AS place", "key")
 
-    weighed = vocab.mapInArrow(spell, "word string, c long, shares long, lp float")
-    places = dictionaries.selectExpr("block", "n", "posexplode(words) AS (i, word)").selectExpr("block", "CAST(n + i AS INT) AS place", "word")
-    own = places.join(weighed, "word").select("block", "place", "c", "shares", "lp")
-    end = math.log10(ends / (n_train + n_types)) if ends else 0.0
+    own = numbers("words", "").join(vocab.mapInArrow(spell, "key string, c long, lp double"), "key").select("block", "place", "c", "lp")
+    arcs = numbers("keys", "-1 - ").join(repeated.filter("c > 0"), "key").selectExpr("block", "place", "c", "0D AS lp")
+    end = math.log10((ends - less) / n_train) if ends else 0.0
     base_end, base_all = math.log10(ends + 1), math.log10(n_train + n_types + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = right.num_rows
-        place = right.column("place").to_numpy()
-        c, lp, shares = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-        c[place], lp[place], shares[place] = right.column("c").to_numpy(), right.column("lp").to_numpy(), right.column("shares").to_numpy()
-        gain, is_known = np.log10(c + 1), (c > 0).astype(float)
-        norm = log_gamma(np.array([CONCENTRATION]))
-        weights, lasts = [], []  # logs of the prior's weight of each word and of the end, by class
-        for k in range(CLASSES):
-            shared = max(SHARED * in_class[k], 1.0)
-            own = c * ((shares >> (8 * k)) & 255) / 255
-            with np.errstate(divide="ignore"):
-                weights.append(np.logaddexp(np.log(own), math.log(shared) + _LN10 * lp) + math.log(CONCENTRATION / (in_class[k] + shared)))
-            lasts.append(math.log(CONCENTRATION * (texts[k] + shared * 10.0**end) / (in_class[k] + shared)) if ends else 0.0)
+        place, count, log = (right.column(x).to_numpy() for x in ("place", "c", "lp"))
+        word = place >= 0
+        c, lp = np.zeros(int(word.sum())), np.zeros(int(word.sum()))
+        c[place[word]], lp[place[word]] = count[word], log[word]
+        arc = np.full(max((pa.compute.max(x.flatten()).as_py() or 0 for x in left.column("phrase").chunks), default=0) + 1, -np.inf)
+        arc[-1 - place[~word]] = np.log10(count[~word] - less_phrase) - math.log10(max(n_phrases, 1))
+        gain = np.log10(c + 1)
 
         def some(left: pa.Table) -> pa.Table:
-            lists, times = left.column("place").combine_chunks(), left.column("times").combine_chunks()
-            flat, t = np.asarray(lists.flatten()), np.asarray(times.flatten(), np.float64)
-            row = np.repeat(np.arange(left.num_rows), np.asarray(lists.value_lengths()))
-            total = lambda x: np.bincount(row, x[flat] * t, left.num_rows)
-            n = left.column("n").to_numpy()
-            base = total(gain) + base_end - n * base_all
-            known = total(is_known).astype(np.int64) + (ends > 0)
-            again = np.flatnonzero(t > 1)
-            row2, flat2, t2 = row[again], flat[again], t[again]
-            drawn = norm - log_gamma(CONCENTRATION + n - (ends == 0))
-            text = np.empty((left.num_rows, CLASSES))
-            for k in range(CLASSES):
-                a = np.exp(weights[k][flat2])
-                text[:, k] = prior[k] + drawn + lasts[k] + np.bincount(row, weights[k][flat], left.num_rows) + np.bincount(row2, log_gamma(a + t2) - log_gamma(a + 1.0), left.num_rows)
-            most = text.max(axis=1)
-            text = most + np.log(np.exp(text - most[:, None]).sum(axis=1))
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
-            cols = [left.column("doc_id"), left.column("held_out"), left.column("n"), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(text / _LN10), pa.array(total(lp) + end)]
-            return pa.Table.from_arrays(cols, names=names)
+            rows = left.num_rows
+            lists = {x: left.column(x).combine_chunks() for x in ("seq", "cut", "phrase")}
+            flat = {x: np.asarray(v.flatten()) for x, v in lists.items()}
+            size = {x: np.asarray(v.value_lengths()) for x, v in lists.items()}
+            row = np.repeat(np.arange(rows), size["seq"])
+            n = size["seq"] + 1
+            base = np.bincount(row, gain[flat["seq"]], rows) + base_end - n * base_all
+            known = np.bincount(row, c[flat["seq"]] > 0, rows).astype(np.int64) + (ends > 0)
+            spelled = np.bincount(np.repeat(np.arange(len(flat["cut"])), flat["cut"]), lp[flat["seq"]], len(flat["cut"])) + escape_phrase
+            whole = np.logaddexp(spelled * _LN10, arc[flat["phrase"]] * _LN10) / _LN10
+            total = np.bincount(np.repeat(np.arange(rows), size["phrase"]), whole, rows) + end
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(rows, n_train)), pa.array(base), pa.array(total)], names=names)
 
         if not left.num_rows:
             return some(left)
-        filled = np.concatenate([np.asarray(x.value_lengths()) for x in left.column("place").chunks]).cumsum() // STEP
+        filled = np.concatenate([np.asarray(x.value_lengths()) for x in left.column("seq").chunks]).cumsum() // STEP
         cut = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), left.num_rows]
         return pa.concat_tables([some(left.slice(i, j - i)) for i, j in zip(cut, cut[1:])])
 
-    rows = docs.sparkSession.read.schema(made.schema).parquet(path).filter("words IS NULL").select("block", "doc_id", "held_out", "n", "place", "times")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(meet, schema)
+    rows = spark.read.schema(made.schema).parquet(path).filter("seq IS NOT NULL").select("block", "doc_id", "held_out", "seq", "cut", "phrase")
+    parts = max(1, made.select("block").distinct().count())  # so that a task has few blocks however many there are
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    met = own.unionByName(arcs).repartition(parts, "block").groupBy("block")
+    return rows.repartition(parts, "block").groupBy("block").cogroup(met).applyInArrow(meet, schema)
 
 
 def op7_lattice_lm(spark, sf_dir: str) -> DataFrame:
     """Scores of every document; learned from those of the other six folds."""
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs.withColumn("learns", common.learns(F.col("doc_id"), 7, 2)).withColumn("held_out", common.held_out(F.col("doc_id"), 7, 2)))

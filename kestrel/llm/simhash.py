@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             fp = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=[*keep, "fp"])
 
@@ -181,7 +181,6 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     least doc_id of the component; rows without doc_id take part and get their component's.
     Repeated rows each give a row.
     """
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     prints, _ = common.written(fingerprints(docs, ["doc_id"]), "prints")
     distinct, _ = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -194,7 +193,6 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that with the least doc_id (one row of it if it repeats)."""
-    common.small_batches(spark)
     keep = [*[f"c{i}" for i in range(len(docs.columns))], "doc_id"]
     rows, _ = common.written(fingerprints(common.masked(docs, "doc_id", "text"), keep).withColumn("row", F.monotonically_increasing_id()), "stage3")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("row").alias("row"))

@@ -352,7 +352,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = T
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learned from labels of the other two folds."""
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     return predict(docs, model, ["doc_id"]).select("doc_id", common.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
@@ -360,7 +359,6 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic."""
-    common.small_batches(spark)
     model = fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
     kept = predict(common.masked(docs, "text"), model, [f"c{i}" for i in range(len(docs.columns))]).filter("predicted = 0")
     return common.unmasked(kept, docs.columns)

@@ -161,7 +161,6 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Every page through an archive and back. Null html is an empty payload; a null page_id stays null."""
-    common.small_batches(spark)  # rows of the scan are files; a task has spark.sql.files.maxPartitionBytes of them
     path = common.new_path(spark, "warc")
     write(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     rows = assemble(read(spark, path).drop("payload").withColumn("payload", F.lit(None).cast("binary")))

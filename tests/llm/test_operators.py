@@ -187,48 +187,53 @@ def test_op6_records(spark, tmp_path):
     assert some == 0
 
 
-def test_op7_base_and_lattice(spark, docs):
-    count, held = Counter(), {}
-    for k, t in docs.items():
-        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
-        held[k] = zlib.crc32(str(k).encode()) % 7 == 2, w
-        if not held[k][0]:
-            count.update(w)
-    n, v = sum(count.values()), len(count)
+def brute_model(texts):
+    """Marginals of words and phrases by the formulas of the docstring, from the training texts."""
+    split = lambda t: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def phrases(w):
+        out, own = [], []
+        for x in w:
+            own.append(x)
+            if zlib.crc32(x.encode()) % lattice_lm.PHRASE == 0:
+                out, own = [*out, tuple(own)], []
+        return [*out, tuple(own)] if own else out
+
+    learned = [split(t) for t in texts]
+    words, whole, ends = Counter(w for t in learned for w in t), Counter(p for t in learned for p in phrases(t)), len(learned)
+    off = lambda c: (list(c.values()).count(1) + 1) / (list(c.values()).count(1) + 2 * list(c.values()).count(2) + 2)
+    d, e, n, v, m = off(words), off(whole), sum(words.values()) + ends, len(words) + 1, sum(whole.values())
+    lattice = lattice_lm.Lattice.existing(lattice_lm.vocabulary())
+
+    def log_word(w):
+        spelled = math.log(d * v / n) + lattice.log_prob(w)
+        return math.log(math.exp(spelled) + max(words[w] - d, 0) / n) if words[w] else spelled
+
+    def log_phrase(p):
+        apart = math.log(e * len(whole) / m) + sum(map(log_word, p))
+        return np.logaddexp(math.log((whole[p] - e) / m), apart) if whole[p] else apart
+
+    return split, words, n, v, lambda t: (sum(map(log_phrase, phrases(split(t)))) + math.log((ends - d) / n)) / math.log(10)
+
+
+def test_op7_brute_force(spark, docs):
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in docs}
+    split, words, n, v, marginal = brute_model([t for k, t in docs.items() if not held[k]])
+    ends = sum(not x for x in held.values())
     for r in registry.QUERIES["op7_lattice_lm"](spark, SF).collect():
-        h, w = held[r.doc_id]
-        want = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(w), sum(count[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.score < 0 and math.isfinite(r.score) and math.isfinite(r.lattice_score)
+        w = split(docs[r.doc_id])
+        want = sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w) + 1, sum(words[x] > 0 for x in w) + 1, n)
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and math.isclose(r.score, marginal(docs[r.doc_id]), rel_tol=1e-9)
 
 
-def test_op7_held_out_beats_the_base(spark):
-    rows = registry.QUERIES["op7_lattice_lm"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
-    assert sum(r.score for r in rows) > sum(r.lattice_score for r in rows)
-    known = [r for r in rows if r.n_known >= 0.97 * r.n_tokens]
-    assert known and sum(r.score > r.base_score for r in known) >= 0.9 * len(known)
-
-
-def test_mixture_tells_classes_apart():
-    rng = np.random.default_rng(1)
-    x = np.zeros((300, lattice_lm.BUCKETS), np.float32)
-    truth = rng.integers(0, 3, 300)
-    for i, k in enumerate(truth):
-        np.add.at(x[i], 50 * k + rng.integers(0, 50, 60), 1)
-    found = (x @ lattice_lm.mixture(x, classes=4)).argmax(axis=1)
-    assert all(len(set(truth[found == k])) <= 1 for k in range(4))
-    assert not lattice_lm.mixture(x[:0]).any()
-
-
-def test_classes_learn_from_all_texts(spark):
-    own = [f"w{i}".encode() for i in range(300)]
-    rows = [(i, f"a b c {' '.join([w.decode()] * 20)}", True) for i, w in enumerate(own)] + [(7, "once " * 50, True)] * 40 + [(None, None, False)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, learns boolean")
-    logs = lattice_lm.classes(docs, 340, most=20)
-    assert logs.shape == (lattice_lm.BUCKETS, lattice_lm.CLASSES) and np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-3)
-    assert np.exp(logs[lattice_lm.hashed(own)]).max(axis=1).min() > 0.5 * 20 / (300 * 23 + 40 * 50)
-    assert np.allclose(logs, lattice_lm.classes(docs.repartition(5, "text"), 340, most=20), atol=1e-3)
-    assert not lattice_lm.classes(docs.filter("NOT learns"), 0).any()
+def test_op7_knows_a_text_seen_before(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400))
+    seen, other, rest = text(), text(), [text() for _ in range(30)]
+    rows = [(k, t, True, False) for k, t in enumerate([seen, *rest])] + [(100, seen, False, True), (101, other, False, True), (102, seen.upper(), False, True)]
+    got = {r.doc_id: r.score for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean, held_out boolean")).collect()}
+    assert got[100] == got[102] == got[0] and got[100] > 0.5 * got[101]
 
 
 def test_op7_words_without_probability(spark):
@@ -236,6 +241,8 @@ def test_op7_words_without_probability(spark):
     got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean, held_out boolean")).collect()}
     assert len(got) == 6 and all(math.isfinite(r.score) and r.score <= 0 for r in got.values())
     assert got[9].score < got[3].score and (got[3].n_tokens, got[3].n_known, got[3].train_tokens) == (4, 4, 12)
+    alone = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean, held_out boolean").withColumn("learns", F.lit(False))).collect()
+    assert len(alone) == 6 and all(r.train_tokens == 0 and r.score <= 0 for r in alone)
 
 
 def test_lattice_sums_all_segmentations():
@@ -249,11 +256,7 @@ def test_lattice_sums_all_segmentations():
         return [t[s[i:j]] + x for j in range(i + 1, len(s) + 1) if s[i:j] in t for x in every(j)]
 
     assert math.isclose(lattice.log_prob("aab"), math.log(sum(map(math.exp, every(0)))) + lattice.stop)
-    counts = Counter()
-    lattice.expected("aab", counts)
-    assert math.isclose(sum(n for (part, _), n in counts.items() if not part), 1.0)
-    x = np.array([1.0, 1.5, 2.0, 30.0, 1e6])
-    assert np.allclose(lattice_lm.log_gamma(x), [math.lgamma(a) for a in x], rtol=1e-12, atol=1e-12)
+    assert math.isclose(sum(map(math.exp, lattice.first.values())), 1) and math.isclose(sum(map(math.exp, lattice.later.values())) + math.exp(lattice.stop), 1)
 
 
 def test_toxic_words_with_gaps():
