@@ -285,6 +285,56 @@ def test_toxic_words_with_long_gaps_and_spaces():
     assert toxicity.tokens("several ordinary words") == {"several", "ordinary", "words"}
 
 
+def test_letters_of_other_scripts_differ():
+    one, two, mixed = (toxicity.code_matrix([w], len(w))[0].tolist() for w in ("аб", "ъы", "a б"))
+    assert one != two and len(set(one)) == 4 and mixed[1] == 0 and mixed[2] == toxicity._SPACE
+    latin = toxicity.code_matrix(["az09"], 4)[0].tolist()
+    assert latin == [toxicity.MARK, 0, 25, 26, 35, toxicity.MARK + 1]
+
+
+def labelled(spark, insult, n=400):
+    """Texts of made-up words, a quarter of them with an insult and label 1."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(600)] + ["green", "bucket"] * 8
+    rows = []
+    for k in range(n):
+        own = [rng.choice(words) for _ in range(60)]
+        if k % 4 == 0:
+            own.insert(rng.randrange(60), insult)
+        rows.append((k, " ".join(own), int(k % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), " ".join(words[:40])
+
+
+@pytest.mark.parametrize("insult,others,clean", [("blockhead", ["b l o c k h e a d", "blxockheadx", "blockkhead"], ["green bucket"]), ("green bucket", ["Green, bucket!", "greeen bucket"], ["green window", "the bucket", "green"])])
+def test_op8_learns_words_and_pairs(spark, insult, others, clean):
+    docs, labels, rest = labelled(spark, insult)
+    model = toxicity.fit(docs, labels)
+    assert model.paired == (" " in insult)
+    texts = [f"{rest} {x} {rest}" for x in [insult, *others, *clean]] + [rest, "", None]
+    rows = toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), model, ["k"]).orderBy("k").collect()
+    assert [r.predicted for r in rows] == [1] * (1 + len(others)) + [0] * (len(clean) + 3)
+
+
+def test_op8_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in registry.QUERIES["op8_toxicity"](spark, sf).collect()]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    caught = sum(r.predicted for r in held if truth[r.doc_id])
+    assert caught >= 0.75 * sum(truth[r.doc_id] for r in held) and caught >= 0.95 * sum(r.predicted for r in held)
+
+
+def test_op8_repeated_ids(spark):
+    docs, labels, _ = labelled(spark, "blockhead", 200)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zzz "), "text"))).unionByName(docs)
+    one, two = toxicity.fit(docs, labels), toxicity.fit(twice.repartition(7), labels)
+    some = docs.filter("doc_id < 20")
+    score = lambda m: [r.score for r in toxicity.predict(some, m, ["doc_id"]).orderBy("doc_id").collect()]
+    assert score(two) == score(toxicity.fit(twice.repartition(3, "text"), labels)) and all(abs(a - b) < 0.2 for a, b in zip(score(one), score(two)))
+
+
 def test_tiles():
     item = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
     moved = np.array([6, 7, 8, 9, 10, 0, 1, 2, 3, 4, 5])
