@@ -287,7 +287,7 @@ def test_toxic_words_with_long_gaps_and_spaces():
 
 def test_letters_of_other_scripts_differ():
     one, two, mixed = (toxicity.code_matrix([w], len(w))[0].tolist() for w in ("аб", "ъы", "a б"))
-    assert one != two and len(set(one)) == 4 and mixed[1] == 0 and mixed[2] == toxicity._SPACE
+    assert one != two and len(set(one)) == 4 and mixed[1] == 0
     latin = toxicity.code_matrix(["az09"], 4)[0].tolist()
     assert latin == [toxicity.MARK, 0, 25, 26, 35, toxicity.MARK + 1]
 
@@ -295,7 +295,7 @@ def test_letters_of_other_scripts_differ():
 def labelled(spark, insult, n=400):
     """Texts of made-up words, a quarter of them with an insult and label 1."""
     rng = random.Random(8)
-    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(600)] + ["green", "bucket"] * 8
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(600)] + ["green", "bucket"]
     rows = []
     for k in range(n):
         own = [rng.choice(words) for _ in range(60)]
@@ -306,14 +306,13 @@ def labelled(spark, insult, n=400):
     return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), " ".join(words[:40])
 
 
-@pytest.mark.parametrize("insult,others,clean", [("blockhead", ["b l o c k h e a d", "blxockheadx", "blockkhead"], ["green bucket"]), ("green bucket", ["Green, bucket!", "greeen bucket"], ["green window", "the bucket", "green"])])
-def test_op8_learns_words_and_pairs(spark, insult, others, clean):
-    docs, labels, rest = labelled(spark, insult)
+def test_op8_learns_words(spark):
+    docs, labels, rest = labelled(spark, "blockhead")
     model = toxicity.fit(docs, labels)
-    assert model.paired == (" " in insult)
-    texts = [f"{rest} {x} {rest}" for x in [insult, *others, *clean]] + [rest, "", None]
+    bad, clean = ["blockhead", "b l o c k h e a d", "blxockheadx", "blockkhead"], ["green bucket", rest, "", None]
+    texts = [*[f"{rest} {x} {rest}" for x in bad], *clean]
     rows = toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), model, ["k"]).orderBy("k").collect()
-    assert [r.predicted for r in rows] == [1] * (1 + len(others)) + [0] * (len(clean) + 3)
+    assert [r.predicted for r in rows] == [1] * len(bad) + [0] * len(clean)
 
 
 def test_op8_held_out(spark):
@@ -368,6 +367,32 @@ def test_op10_edges(spark):
     assert got == [(0, 1, 1, same), (0, 2, 2, same), (0, 3, 2, same), (0, 4, 100, -(256 * 256)), (100, 1, 0, -(256 * 256)), (100, 2, 1, -(256 * 256)), (100, 3, 2, -(256 * 256)), (100, 4, 2, -(256 * 256))]
 
 
+def test_op10_large_components(spark):
+    rows = [(50, [2.0**32, 0.0]), (1, [2.0**32, 0.0]), (2, [1.0, 1.0]), (3, [-(2.0**32), 0.0]), (4, [2.0**21, 0.0]), (5, [2.0**21, -3e38]), (100, [3.0, 2.0**40])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    whole = {k: [math.floor(256 * float(np.float32(x))) for x in e] for k, e in rows}
+    want = []
+    for q in (50, 100):
+        exact = {k: min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(whole[q], e)))) for k, e in whole.items() if k != q}
+        want += [(q, k, s) for k, s in sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert got == want and got[0] == (50, 1, 2**63 - 1)
+
+
+@pytest.mark.parametrize("query_block,rows", [(3, 20), (1000, 1000)])
+def test_op10_blocks(spark, query_block, rows):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(200, 6)) * rng.uniform(0.1, 9, (200, 1)), np.tile([1.0, 2, 3, 4, 5, 6], (400, 1))]).round(2)
+    v = topk.quantised(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>"))
+    whole = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 600, 50):
+        s = whole @ whole[q]
+        want += [(q, n + 1, k, int(s[k])) for n, k in enumerate([k for k in np.lexsort((np.arange(600), -s)).tolist() if k != q][:5])]
+    got = topk.top_k(v, v.filter("vec_id % 50 = 0"), query_block=query_block, rows=rows)
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got.orderBy("query_id", "rank").collect()] == want
+
+
 EDGE = {
     "documents": ("doc_id long, text string, lang string, source string, n_chars long, score double, fp long, __x string", [
         (1, "the cat sat on the mat and the dog ran", "en", "s", 1, 0.1, 2, "q"), (1, "the cat sat on the mat and the dog ran", "en", "s", 1, 0.1, 2, "q"), (2, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 0.1, 2, "q"),
