@@ -3,14 +3,12 @@
 The kernel compares words by their common subsequences of three characters, each weighted by
 DECAY to the length it spans, whatever that is, so gaps and inserted characters cost little.
 Neighbouring short fragments are also read as one word. Labels exist for whole texts, each a
-bag of instances: its words and, for insults of two words, pairs of neighbouring words.
-Instances that occur in far more toxic than clean texts are positive, all of them, those of
-clean texts negative, and negatives that score highest are added and the machine trained
-again. The landmarks are the positives of most evidence and frequent negatives. In their
-space the machine is linear; written out over the subsequences of the landmarks it is one
-table, which scores a new instance without its landmarks. Pairs of a text are scored if a
-pair was learnt; without one no pair is like an insult of two words. A text's score is a
-logistic function of its highest instance scores and of how many are positive.
+bag of words. All words that occur in far more toxic than clean texts are positive instances,
+words of clean texts negative ones, and negatives that score highest are added and the machine
+trained again. The landmarks are the positives of most evidence and frequent negatives. In
+their space the machine is linear; written out over the subsequences of the landmarks it is one
+table, which scores a new word without its landmarks. A text's score is a logistic function of
+its highest word scores and of how many are positive.
 """
 
 from __future__ import annotations
@@ -34,8 +32,8 @@ DECAY = 0.7
 #: Learning reads at most about so many toxic and clean labelled texts.
 TRAIN_TOXIC, TRAIN_CLEAN = 5000, 15000
 LANDMARKS, NEGATIVES = 300, 1500
-#: Evidence (log-likelihood ratio) that makes a word or a pair of words a positive instance; pairs are many more.
-EVIDENCE, PAIR_EVIDENCE = 8.0, 16.0
+#: Evidence (log-likelihood ratio) that makes a word a positive instance.
+EVIDENCE = 8.0
 THRESHOLD = 0.7
 #: Longer words are scored by windows of this many characters at half their distance.
 WINDOW = 24
@@ -46,8 +44,8 @@ SHORT = 100
 #: Tokens of at most so many letters and digits are fragments, which also count joined to their neighbours.
 FRAGMENT = 3
 _MARKS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-#: Letters, digits, a space and others have codes below MARK; words stand between the marks MARK and MARK + 1.
-_BASE, _SPACE, _OTHER, MARK = 128, 36, 37, 126
+#: Letters, digits and others have codes below MARK; words stand between the marks MARK and MARK + 1.
+_BASE, _OTHER, MARK = 128, 36, 126
 _SIZE = _BASE**3
 
 
@@ -91,17 +89,10 @@ def joined(run: list[str], found: set[str]) -> None:
     found.add("".join(run))
 
 
-def pairs(text: str | None) -> set[str]:
-    """Neighbouring cleaned words, a space between them, that fit a window together."""
-    listed = [c for c in map(clean_word, (text or "").lower().split()) if c]
-    return {f"{a} {b}" for a, b in zip(listed, listed[1:]) if len(a) + len(b) < WINDOW}
-
-
 #: Letters and digits have codes of their own; other characters share the rest by a hash of their code point.
 _CODE = (np.arange(1 << 16, dtype=np.uint64) * 2654435761 % (1 << 32) * (MARK - _OTHER) >> 32).astype(np.int32) + _OTHER
 _CODE[97:123] = np.arange(26)
 _CODE[48:58] = np.arange(26, 36)
-_CODE[32] = _SPACE
 
 
 def code_matrix(words: list[str], n: int) -> np.ndarray:
@@ -225,15 +216,15 @@ FEATURES = 5
 class Scorer:
     """Features of texts by cached word scores."""
 
-    def __init__(self, table: np.ndarray, bias: float, paired: bool = False):
-        self.table, self.bias, self.paired, self.cache = table, bias, paired, {}
+    def __init__(self, table: np.ndarray, bias: float):
+        self.table, self.bias, self.cache = table, bias, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        sets = [tokens(t) | pairs(t) if self.paired else tokens(t) for t in texts]
+        sets = [tokens(t) for t in texts]
         if len(self.cache) > 1_500_000:
             self.cache.clear()
         new = [w for w in set().union(*sets) if w not in self.cache] if sets else []
-        self.cache.update(zip(new, word_scores([w if " " in w else clean_word(w) for w in new], self.table, self.bias).tolist()))
+        self.cache.update(zip(new, word_scores([clean_word(w) for w in new], self.table, self.bias).tolist()))
         out = np.zeros((len(texts), FEATURES))
         get = self.cache.__getitem__
         for i, found in enumerate(sets):
@@ -246,8 +237,8 @@ class Scorer:
 class Model:
     """The trained machine; without both classes a constant score."""
 
-    def __init__(self, table=None, bias=0.0, weights=None, constant=0.0, paired=False):
-        self.table, self.bias, self.weights, self.constant, self.paired = table, bias, weights, constant, paired
+    def __init__(self, table=None, bias=0.0, weights=None, constant=0.0):
+        self.table, self.bias, self.weights, self.constant = table, bias, weights, constant
 
     def score(self, f: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -297,37 +288,6 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, flo
     return kept, {k: 1 / s for k, s in share.items()}
 
 
-def paired(train: DataFrame, known: set[str], n1: int, n0: int, weighed) -> tuple[list[tuple[str, float]], dict[str, float]]:
-    """Positive pairs of words without a positive word, by evidence, and the pairs of clean texts that share a word with one.
-
-    Pairs are counted in toxic texts first; only those with enough of them to reach the evidence are looked for in clean ones.
-    """
-
-    def counted(toxic: int, wanted) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: Counter = Counter()
-            for batch in common.slices(batches):
-                for text in batch.column(0).to_pylist():
-                    sums.update(p for p in pairs(text) if wanted(p))
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
-
-        rows = train.filter(F.col("toxic") == toxic).select("text").mapInArrow(run, "word string, n long")
-        return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-    least = PAIR_EVIDENCE / math.log((n1 + n0) / n1)  # of toxic texts, were there none but toxic ones with the pair
-    often = {r["word"]: r["n"] for r in counted(1, lambda p: known.isdisjoint(p.split(" "))).filter(F.col("n") >= least).collect()}
-    if not often:
-        return [], {}
-    parts = {x for p in often for x in p.split(" ")}
-    near = {r["word"]: r["n"] for r in counted(0, lambda p: not parts.isdisjoint(p.split(" "))).orderBy(F.desc("n"), "word").limit(20 * NEGATIVES).collect()}
-    rows = train.sparkSession.createDataFrame([(w, x, near.get(w, 0)) for w, x in often.items()], "word string, x1 long, x0 long")
-    best = weighed(rows).filter(F.col("g") >= PAIR_EVIDENCE).filter(F.col("pure") >= 0.9).orderBy(F.desc("g"), "word").collect()
-    found = [(r["word"], math.log1p(r["x1"])) for r in best]
-    parts, chosen = {x for p, _ in found for x in p.split(" ")}, {p for p, _ in found}
-    share = [(w, n) for w, n in near.items() if w not in chosen and not parts.isdisjoint(w.split(" "))][:NEGATIVES]
-    return found, {w: math.log1p(n) for w, n in share}
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from (doc_id, text) and (doc_id, toxic); conflicting labels of an id count as toxic."""
     train, stands = sample(docs, labels)
@@ -350,21 +310,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counted = train.mapInArrow(count, "word string, x1 long, x0 long").groupBy("word").agg(F.sum("x1").alias("x1"), F.sum("x0").alias("x0"))
     stats, _ = common.written(counted, "toxwords")
 
-    def weighed(counts: DataFrame) -> DataFrame:
-        rate1, rate = F.col("x1") / n1, (F.col("x1") + F.col("x0")) / (n1 + n0)
-        return counts.withColumn("g", F.when(F.col("x1") > 0, F.col("x1") * F.log(rate1 / rate)).otherwise(0.0)).withColumn("pure", rate1 / (rate1 + F.col("x0") / n0))
-
-    told = weighed(stats)
+    rate1, rate = F.col("x1") / n1, (F.col("x1") + F.col("x0")) / (n1 + n0)
+    told = stats.withColumn("g", F.when(F.col("x1") > 0, F.col("x1") * F.log(rate1 / rate)).otherwise(0.0)).withColumn("pure", rate1 / (rate1 + F.col("x0") / n0))
     best = told.filter(F.col("g") >= EVIDENCE).filter(F.col("pure") >= 0.9).orderBy(F.desc("g"), "word").collect()  # words of the bounded sample
     positive = [(r["word"], math.log1p(r["x1"])) for r in best if len(r["word"]) <= WINDOW]
-    double, against = paired(train, {w for w, _ in positive}, n1, n0, weighed)
-    positive += double
     if not positive:
         return Model(constant=n1 * stands[1] / (n1 * stands[1] + n0 * stands[0]))
     plain = told.filter("x0 > 0 AND pure < 0.75").filter(F.length("word") <= WINDOW)
     frequent = plain.orderBy(F.desc("x0"), "word").limit(NEGATIVES).collect()
     other = plain.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()
-    negative = {r["word"]: math.log1p(r["x0"]) for r in [*frequent, *other]} | against
+    negative = {r["word"]: math.log1p(r["x0"]) for r in [*frequent, *other]}
     table, bias = train_words(positive, list(negative.items()))
     for _ in range(2):  # clean words that score highest
         def hard(batches: Iterator[pa.RecordBatch], table=table, bias=bias) -> Iterator[pa.RecordBatch]:
@@ -379,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         table, bias = train_words(positive, list(negative.items()))
 
     def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(table, bias, bool(double))
+        own = Scorer(table, bias)
         for batch in common.slices(batches):
             f = own.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["f", "toxic"])
@@ -388,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows.sort(key=lambda r: (r["toxic"], r["f"]))
     y = np.array([r["toxic"] for r in rows], float)
     weights = logistic(np.array([r["f"] for r in rows]), y, np.where(y == 1, stands[1], stands[0]))
-    return Model(table, bias, weights, paired=bool(double))
+    return Model(table, bias, weights)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -400,7 +355,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = T
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(model.table, model.bias, model.paired)
+        own = Scorer(model.table, model.bias)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             s = model.score(own.features(texts) if model.table is not None else np.zeros((len(texts), FEATURES)))
