@@ -96,17 +96,27 @@ class Benchmark:
                 self.ids.append(key)
                 self.codes.append(np.array([vocab.setdefault(x, len(vocab) + 1) for x in w], np.int64))
         self.vocab, self.min_match = vocab, min_match
-        self.seeds: dict[int, dict[int, list[int]]] = {}
+        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, codes in enumerate(self.codes):
             n = min(min_match, len(codes))
             own = self.seeds.setdefault(n, {})
-            for h in set(windows(codes, n).tolist()):
-                own.setdefault(h, []).append(k)
-        self.sorted = {n: np.sort(np.fromiter(own, np.uint64, len(own))) for n, own in self.seeds.items()}
-
-    def matches(self, codes: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        """(item, coverage, tiles, words under tiles) for each item that shares a seed."""
-        near: dict[int, list[np.ndarray]] = {}
+            for i, h in enumerate(windows(codes, n).tolist()):
+                own.setdefault(h, []).append((k, i))
+        self.size = np.array([len(x) for x in self.codes], np.int64)
+        self.sorted, self.first, self.place = {}, {}, {}
+        for n, own in self.seeds.items():
+            keys = np.sort(np.fromiter(own, np.uint64, len(own)))
+            listed = [own[x] for x in keys.tolist()]
+            self.sorted[n] = keys
+            self.first[n] = np.cumsum([0, *map(len, listed)])  # where the places of a seed begin
+            self.place[n] = np.array([p for x in listed for p in x], np.int64).reshape(-1, 2)
+
+    def near(self, codes: np.ndarray, coverage: float) -> dict[int, tuple[int, np.ndarray]]:
+        """For each item of which shared seeds cover enough words: the length of a seed and the places in the text of its seeds.
+
+        Tiles consist of shared seeds, so that the words under seeds bound the coverage.
+        """
+        out: dict[int, tuple[int, np.ndarray]] = {}
         known = codes > 0
         for n, look in self.sorted.items():
             if len(codes) < n or not len(look):
@@ -122,18 +132,33 @@ class Benchmark:
                 h = h * _BASE + codes[at + k].astype(np.uint64)
             place = np.minimum(np.searchsorted(look, h), len(look) - 1)
             hit = look[place] == h
-            per: dict[int, list[int]] = {}
-            for t, x in zip(at[hit].tolist(), h[hit].tolist()):
-                for k in self.seeds[n][x]:
-                    per.setdefault(k, []).append(t)
-            for k, places in per.items():
-                near[k] = (np.array(places)[:, None] + np.arange(n)[None, :]).ravel()
-        for k, places in near.items():
-            places = np.unique(places)
+            at, place = at[hit], place[hit]
+            if not len(at):
+                continue
+            found = np.unique(place)
+            first, size = self.first[n][found], np.diff(self.first[n])[found]
+            own = self.place[n][np.repeat(first - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum())]
+            own = own[np.lexsort((own[:, 1], own[:, 0]))]  # (item, place in it) of shared seeds
+            new = np.ones(len(own), np.int64) * n
+            same = own[1:, 0] == own[:-1, 0]
+            new[1:][same] = np.minimum(n, own[1:, 1] - own[:-1, 1])[same]
+            covered = np.bincount(own[:, 0], new, len(self.codes))
+            for k in np.flatnonzero((covered > 0) & (covered >= coverage * self.size)).tolist():
+                if min(self.min_match, len(self.codes[k])) == n:
+                    out[k] = n, at[np.isin(h[hit], self.item_seeds(k, n))]
+        return out
+
+    def item_seeds(self, k: int, n: int) -> np.ndarray:
+        return np.unique(windows(self.codes[k], n))
+
+    def matches(self, codes: np.ndarray, coverage: float = 0.0) -> Iterator[tuple[int, float, int, int]]:
+        """(item, coverage, tiles, words under tiles) for each item that shares a seed and may reach the coverage."""
+        for k, (n, places) in self.near(codes, coverage).items():
+            places = np.unique((places[:, None] + np.arange(n)[None, :]).ravel())
             gaps = np.flatnonzero(np.diff(places) > 1) + 1
             text = np.insert(codes[places], gaps, 0)  # only words under seeds can be under tiles
             item = self.codes[k]
-            found = tiles(item, text, min(self.min_match, len(item)))
+            found = tiles(item, text, n)
             words = sum(n for _, _, n in found)
             yield k, words / len(item), len(found), words
 
@@ -166,7 +191,7 @@ def found_in(text: str | None, block: Benchmark, look: Codes, coverage: float) -
         return []
     w = text.split()
     codes = np.fromiter(map(look.__getitem__, w), np.int64, len(w))
-    return [(block.ids[k], c, n, m) for k, c, n, m in block.matches(codes[codes >= 0]) if c >= coverage]
+    return [(block.ids[k], c, n, m) for k, c, n, m in block.matches(codes[codes >= 0], coverage) if c >= coverage]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
@@ -208,10 +233,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items, with each item's coverage."""
+    """Documents that hold benchmark items, with each item's coverage.
+
+    Null and empty texts and items match nothing; long texts are read in full; of equal items each gives a row, as does each repeated row.
+    """
     return scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which no benchmark item reaches the coverage."""
+    """Keeps the documents in which no benchmark item reaches the coverage, null and empty texts and repeated rows among them."""
     return clean(docs, common.table(spark, sf_dir, "benchmark"))

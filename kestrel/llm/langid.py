@@ -86,7 +86,7 @@ def proportions(ids: np.ndarray, n: np.ndarray, prob: np.ndarray, penalty: float
     while len(chosen) < len(p):
         slope = p @ (n / mix) - total  # the log-likelihood is concave: no language can gain more than its slope
         slope[chosen] = -np.inf
-        tried = [k for k in np.argsort(-slope, kind="stable")[:2] if slope[k] > cost]
+        tried = np.flatnonzero(slope > cost)
         better = None
         for k in tried:
             members = [*chosen, int(k)]
@@ -140,7 +140,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    """Language of every document; learned from labelled rows of the other two folds."""
+    """Language of every document; learned from labelled rows of the other two folds.
+
+    Null texts and ones without a letter are `und`, long ones count in full; of languages in equal shares the
+    first by name wins, and repeated rows give a row each.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(common.learns(F.col("doc_id"), 3, 1)))
     out = predict(docs.select("doc_id", "text"), model, ["doc_id"])
@@ -152,7 +156,7 @@ MIN_SHARE = 0.5
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose main language is determined and holds at least MIN_SHARE of the text."""
+    """Keeps documents whose main language is determined and holds at least MIN_SHARE of the text; null and empty texts go, repeated rows stay."""
     model = fit(docs.filter(common.learns(F.col("doc_id"), 3, 1)))
     kept = predict(common.masked(docs, "text"), model).filter(F.col("lang_pred") != UNDETERMINED).filter(F.col("score") >= MIN_SHARE)
     return common.unmasked(kept, docs.columns)

@@ -144,12 +144,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     literal = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(f)).alias("value")) for i, m, f in flips])
     probes = fps.select(F.col("fp").alias("probe"), F.explode(literal).alias("k")).select("k.part", "k.value", "probe")
     met = probes.join(counts, ["part", "value"])
-    if all(r == 0 for r, _, _ in parts):
+    same = all(r == 0 for r, _, _ in parts)  # probes are the members themselves
+    if same:
         met = met.filter("n > 1")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     pairs = (
         met.filter(F.col("n") <= bucket)
-        .join(index, ["part", "value"])
+        .join(index.join(counts.filter((F.col("n") > 1) & (F.col("n") <= bucket)).select("part", "value") if same else counts.filter(F.col("n") <= bucket).select("part", "value"), ["part", "value"]), ["part", "value"])
         .select(F.col("probe").alias("a"), F.col("fp").alias("b"))
         .filter("a < b")
         .filter(close)
@@ -183,12 +184,12 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     prints, _ = common.written(fingerprints(docs, ["doc_id"]), "prints")
-    distinct, _ = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct, _ = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     found = groups(distinct.select("fp"))
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes, _ = common.written(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    classes, _ = common.written(rooted.join(least, "root").select("fp", "component_id", "n"), "classes")
+    return common.join_counted(prints, classes, "fp", "inner").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,8 +53,8 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "%0A").alias("url"), payload.alias("html"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html").cast("long"))
     order = F.struct(F.col("page_id").isNull().alias("x"), F.col("page_id").alias("id"), F.col("row").alias("row"))
-    first = rows.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
-    joined = rows.join(first.filter("copies > 1").select("digest", "first"), "digest", "left")
+    first = rows.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    joined = common.join_counted(rows.withColumnRenamed("n", "bytes"), first.filter("n > 1"), "digest").withColumnRenamed("bytes", "n")
     again = F.coalesce((F.col("n") >= revisit_bytes) & (F.col("first.row") != F.col("row")), F.lit(False))
     rid = lambda row, part: F.concat(F.lit(f"urn:capture:{part}:"), row.cast("string"))
     own, uri = rid(F.col("row"), "response"), ("WARC-Target-URI", F.col("url"))
