@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with an existing vocabulary, exact for texts of any length.
 
-Short texts go to the library in batches; those of ordinary Latin characters, whose classes no
-edition of Unicode changes, to a rank encoder of the same merges, which is faster. A long text is first cut before single spaces
-between visible characters, where the pattern that splits text always begins a new piece.
-What is left without such a place is split by the pattern alone, and a piece of more than
-`LEAF` characters is encoded by tree concatenation: its halves are encoded (leaves in one
-parallel batch), and around each join a growing window is encoded again until its first
-and last tokens are those that both sides have.
+Texts of up to `LEAF` characters go to the library in batches; those of ordinary Latin
+characters, whose classes no edition of Unicode changes, to a rank encoder of the same merges,
+which is faster. A longer text is encoded by tree concatenation: it is halved until the parts
+are short, these are encoded in one parallel batch, and around each join a growing window is
+encoded again until its pieces and those of the right side end at the same place. The pattern
+that splits text goes from left to right and looks one character ahead, so that from such a
+place on both sides agree for good, and the pieces well before the join are those of the left
+side. One piece of more than `LEAF` characters is halved too; there windows of tokens grow
+until their first and last tokens are those that both sides have.
 """
 
 from __future__ import annotations
@@ -18,20 +20,22 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm import common
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-LEAF = 1 << 15
+VOCABULARY = "byte_bpe_50k.json"
+LEAF = 1 << 13
 #: Tokens on each side of a join that a window must leave as they were.
 AGREE = 2
 #: The pattern of byte-level vocabularies, and texts on which all its implementations agree.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*")
-_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+#: Pieces at the end of a part that more text may change, and pieces that a window takes of the right side at first.
+UNSURE, WINDOW = 3, 4
 
 
 def parallel(on: bool) -> None:
@@ -66,6 +70,7 @@ class Codec:
 
         parallel(False)
 
+        path = common.tokenizer(path)
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -75,6 +80,11 @@ class Codec:
         self.added = added
         self.special = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
         self.ranks = rank_encoder(path)
+        #: A piece of more than `leaf` characters has such a run.
+        self.giant = re.compile(rf"\S{{{leaf - 1},}}|\s{{{leaf - 1},}}")
+        self.bytes = np.zeros(self.whole.get_vocab_size(), np.int64)  # bytes of each token: a character each in the vocabulary
+        for token, i in self.whole.get_vocab(with_added_tokens=True).items():
+            self.bytes[i] = len(token)
         self.names = [str(i) for i in range(self.whole.get_vocab_size())]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -94,32 +104,74 @@ class Codec:
                 out[i] = self.long(t)
         return out
 
-    def cuts(self, text: str) -> list[str]:
-        """Parts of at most `leaf` characters where the text has safe places; longer ones where it has none."""
-        parts, at = [], 0
-        while len(text) - at > self.leaf:
-            place = None
-            for m in _CUT.finditer(text, max(at + 1, at + self.leaf // 2), at + self.leaf + 1):
-                place = m
-            if place is None:
-                place = _CUT.search(text, at + 1)
-            if place is None:
-                break
-            parts.append(text[at : place.start()])
-            at = place.start()
-        return [*parts, text[at:]]
-
     def long(self, text: str) -> list[int]:
-        parts = self.cuts(text)
-        fit = [p for p in parts if len(p) <= self.leaf]
-        done = iter(self.whole.encode_batch_fast(fit, add_special_tokens=False))
-        ids: list[int] = []
-        for p in parts:
-            ids += next(done).ids if len(p) <= self.leaf else self.unsplit(p)
-        return ids
+        """A text of more than `leaf` characters: apart at special tokens, then by tree concatenation."""
+        if self.giant.search(text):
+            return self.unsplit(text)
+        ids, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            ids += self.halves(text[at : m.start()]) + [self.added[m[0]]]
+            at = m.end()
+        return ids + self.halves(text[at:])
+
+    def parts(self, texts: list[str]) -> list[tuple]:
+        """(text, ids, first token of each piece, character where each piece begins) of texts without special tokens."""
+        out = []
+        for t, e in zip(texts, self.whole.encode_batch(texts, add_special_tokens=False)):
+            words = np.array(e.word_ids, np.int64)
+            first = np.flatnonzero(np.diff(words, prepend=-1))
+            size = self.bytes[np.array(e.ids, np.int64)]
+            where = np.concatenate([[0], np.cumsum(size)])[first]  # pieces begin at whole characters
+            if len(t) != len(raw := t.encode("utf-8", "surrogatepass")):
+                where = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[where] - 1
+            out.append((t, np.array(e.ids, np.int64), first, where))
+        return out
+
+    def halves(self, text: str) -> list[int]:
+        """Tree concatenation of a text without special tokens and giant pieces."""
+        if not text:
+            return []
+        leaves = [text]
+        while len(leaves[0]) > self.leaf:
+            leaves = [p for x in leaves for p in (x[: len(x) // 2], x[len(x) // 2 :])]
+        parallel(True)
+        level = self.parts(leaves)
+        parallel(False)
+        while len(level) > 1:
+            level = [self.concatenated(level[i], level[i + 1]) for i in range(0, len(level), 2)]
+        return level[0][1].tolist()
+
+    def concatenated(self, left: tuple, right: tuple) -> tuple:
+        """The encoding of both texts as one."""
+        text, ids, first, where = left
+        more, ids2, first2, where2 = right
+        keep = max(0, len(first) - UNSURE - 1)  # pieces of the left that stand
+        start, take = int(where[keep]), WINDOW
+        while True:
+            whole = take >= len(first2)
+            stop = len(more) if whole else int(where2[take])
+            (_, own, own_first, own_where), = self.parts([text[start:] + more[:stop]])
+            if whole:
+                n, skip = len(own_first), len(first2)
+                break
+            sure = own_where[: max(0, len(own_first) - UNSURE)] + start - len(text)
+            shared = np.intersect1d(sure, where2)
+            if len(shared):  # from the first such place on the right side stands
+                n, skip = int(np.searchsorted(sure, shared[0])), int(np.searchsorted(where2, shared[0]))
+                break
+            take *= 2
+        cut = own_first[n] if n < len(own_first) else len(own)
+        rest = first2[skip] if skip < len(first2) else len(ids2)
+        head = first[keep]
+        return (
+            text + more,
+            np.concatenate([ids[:head], own[:cut], ids2[rest:]]),
+            np.concatenate([first[:keep], own_first[:n] + head, first2[skip:] - rest + head + cut]),
+            np.concatenate([where[:keep], own_where[:n] + start, where2[skip:] + len(text)]),
+        )
 
     def unsplit(self, text: str) -> list[int]:
-        """A text without safe places: the pattern splits it, and long pieces go by tree concatenation."""
+        """A text with giant pieces: the pattern splits it, and pieces of more than `leaf` characters go by tree concatenation."""
         ids, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
             ids += self.plain(text[at : m.start()]) + [self.added[m[0]]]
@@ -214,10 +266,13 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    """Digests of the tokens and of the decoded text of every document. Null and empty texts have no tokens."""
+    """Digests of the tokens and of the decoded text of every document.
+
+    Null and empty texts have no tokens; long ones go by tree concatenation; repeated rows give a row each.
+    """
     return digests(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: the digests of every document kept."""
+    """The last stage: the digests of every document kept, null and empty texts and repeated rows among them."""
     return digests(docs)

@@ -173,6 +173,23 @@ def test_tree_concatenation():
         assert small.decode([ids])[0] == t
 
 
+def test_long_texts_by_tree_concatenation(spark):
+    own, rng = bpe.codec(bpe.VOCABULARY), random.Random(7)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 9000").collect()]
+    pool = ["word ", "it's ", "  \n\t", "été ", "漢字かな ", "don't've'll ", "12 345", "!!! ...", "🙂", "\u00a0 ", "'", " 's", "<|endoftext|>", "<|endof"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(3000, 30000))) for _ in range(12)]
+    assert len(texts) > 20
+    seen = []
+    halves = own.halves
+    own.halves = lambda t: seen.append(len(t)) or halves(t)
+    try:
+        for t in texts:
+            assert own.encode([t])[0] == own.whole.encode(t, add_special_tokens=False).ids
+    finally:
+        own.halves = halves
+    assert max(seen) > bpe.LEAF
+
+
 def test_op6_records(spark, tmp_path):
     pages = spark.createDataFrame([(3, "http://a\nb", "x\r\n\r\nWARC/1.1\r\n"), (1, None, "same"), (2, "u", "same"), (4, "u", None), (5, "u", ""), (None, "u", "same"), (7, "u", "é" * 5000)], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
