@@ -33,10 +33,14 @@ def test_op1_wrapped_notices(spark, tmp_path):
     notice = license_scan.TEMPLATES["MIT-paragraph"].split()
     wrapped = "\n".join("# " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
     texts = [f"import x\n#\n{wrapped}\n#\n\nprint(x)", f"{wrapped}\n\n\n", "\n\n", "a\n \nReleased under\nthe MIT License.\n--\nb", " ".join(notice[:20]), None]
+    texts += ["This work is licensed under the GNU Affero General Public License, version 3.", "This file is part of Foo. Licensed under CC BY 4.0. See below.", "Copyright (c) X. All rights reserved. Licensed under the Apache License, Version 2.0. See LICENSE.txt in the project root."]
+    texts += ["2. " + license_scan.TEMPLATES["BSD-clause-2"], license_scan.TEMPLATES["MIT-warranty"].replace(". IN NO", ".\nIN NO"), "Hello there. " + license_scan.TEMPLATES["MPL-2.0"] + " More words.", "a\nb; this work is licensed under the GNU lesser general public license, version 3; and so on"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = license_scan.op1_license_scan(spark, str(tmp_path))
     got = {r.doc_id: r.best_license for r in rows.collect()}
-    assert got == {0: "MIT-paragraph", 1: "MIT-paragraph", 2: None, 3: "MIT", 4: "MIT-permission", 5: None}
+    want = {0: "MIT-paragraph", 1: "MIT-paragraph", 2: None, 3: "MIT", 4: "MIT-permission", 5: None, 6: "AGPL-3.0", 7: "CC-BY-4.0", 8: "Apache-2.0", 9: "BSD-clause-2", 10: "MIT-warranty", 11: "MPL-2.0", 12: "LGPL-3.0"}
+    assert got == want
+    assert {r.doc_id: r.licenses for r in rows.collect()}[6] == "AGPL-3.0"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = {(r[0], r[1], r[2]) for r in con.execute(f"SELECT doc_id, n_matches, licenses FROM ({license_scan.oracle()})").fetchall()}
