@@ -136,6 +136,14 @@ PAGES = [
     ("<head><title>t</title><style>p{}</style><p>One</p><p>two", "One\n\ntwo"), ("<head>\n<title>t</title>\nWords <i>here</i></head><p>two", "Words here\n\ntwo"),
     ("<p>a <button>x<button>y</button> b</p><p>a <svg><text>no</text><p>c</p><p>d", "a b\n\na\n\nc\n\nd"), ("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>yes", "yes"),
     ("<p>a <select><option>x<input> b</p><table><tr><td><select><option>y<td>c</table>", "a b\n\nc"),
+    ("<div class='page-body ad-free'><h1>Title</h1><p>A long enough sentence for the article here.</p><p>two words</p></div>", "Title\n\nA long enough sentence for the article here.\n\ntwo words"),
+    ("<main id='contact-page'><h1>Title</h1><p>A long enough sentence for the article here.</p></main>", "Title\n\nA long enough sentence for the article here."),
+    ("<div id='share-post'><article><h1>T</h1><p>A long enough sentence for the article here.</p></article></div>", "T\n\nA long enough sentence for the article here."),
+    ("<nav><a href=/>Home</a></nav><article><h1>T</h1><p>A long enough sentence for the article here.</p><p><a href=x>A paragraph that is one link</a></p><p>More.</p></article>", "T\n\nA long enough sentence for the article here.\n\nA paragraph that is one link\n\nMore."),
+    ("<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Links</h1><ul><li><a href=1>first of the links</a></li><li><a href=2>second of them</a></li><li><a href=3>third</a></li></ul></article><footer>x</footer>", "Links\n\nfirst of the links\n\nsecond of them\n\nthird"),
+    ("<article><p>Take <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>the fallback</object> of it, as it is here.</p><noscript><p>Text for readers without scripts, a whole paragraph.</p></noscript></article>", "Take x=2 and the fallback of it, as it is here.\n\nText for readers without scripts, a whole paragraph."),
+    ("<div class='sidebar'><article><h1>T</h1><p>A long enough sentence for the article here, and more of it.</p></article></div>", "T\n\nA long enough sentence for the article here, and more of it."),
+    ("<noscript>Please enable JavaScript.</noscript><article><p>A paragraph <noscript><img src=x></noscript>of the article, and more of it.</p></article>", "A paragraph of the article, and more of it."),
 ]
 
 
@@ -144,6 +152,39 @@ def test_op4_pages(page, want):
     assert html_text.trained().text(page) == want
 
 
+def line(n):
+    """So many words of running text."""
+    return " ".join(("The committee met on Tuesday to look at what the town had asked for and found that most of it could be done within a year " * 9).split()[:n])
+
+
+#: Pages written by hand, with blocks that are (+) or are not (-) of the article.
+BY_HAND = [
+    ("<body class='home page'><div class=topbar><a href=/>Home</a> | <a href=/a>About</a></div><div id=wrap><div class=story-text><h1>{+}</h1><p class=dateline>{+}</p><p>{+}</p><p>{+}</p><blockquote>{+}</blockquote></div><div id=right class=sidebar><h4>{-}</h4><p>{-}</p></div></div><div id=foot class=footer>{-}</div>", [6, 5, 40, 30, 12], [2, 20, 8]),
+    ("<header><h1>{-}</h1><nav><ul><li><a href=1>{-}</a><li><a href=2>{-}</a></ul></nav></header><main><article><h2>{+}</h2><p>{+} </p><ul><li>{+}<li>{+}</ul><p>{+}</p></article><section class='comments'><h3>{-}</h3><div class=comment><p>{-}</p></div><div class=comment><p>{-}</p></div></section></main><footer><p>{-}</p></footer>", [7, 50, 4, 5, 20], [3, 1, 1, 2, 25, 14, 9]),
+    ("<table><tr><td width=150><a href=1>{-}</a><br><a href=2>more</a></td><td><h1>{+}</h1><p>{+}<p>{+}</td></tr></table>", [5, 60, 35], [2]),
+    ("<div class='cookie-consent'><p>{-}</p><button>Accept</button></div><div class='container'><div class='row'><div class='col-8'><h1>{+}</h1><p>{+}</p><table><tr><th>{+}<th>{+}<tr><td>{+}<td>{+}</table><p>{+}</p></div><div class='col-4'><div class='widget'><h3>{-}</h3><ul><li><a href=1>{-}</a></li><li><a href=2>{-}</a></li></ul></div></div></div></div>", [4, 45, 2, 2, 3, 2, 38], [22, 2, 5, 6]),
+    ("<div role=banner>{-}</div><div role=main><h1>{+}</h1><p>{+}</p><aside class=pullquote><p>{-}</p></aside><p>{+}</p><figure><img src=x><figcaption>{+}</figcaption></figure><form action=/s><label>{-}</label><input></form><p>{+}</p></div><div role=contentinfo>{-}</div>", [6, 30, 44, 8, 17], [3, 10, 2, 7]),
+    ("<div class=entry-content><p>{+}</p><pre>{+}</pre><p>{+}</p><div class='sharedaddy share'><a href=t>{-}</a> <a href=f>{-}</a></div><div class=newsletter-signup><p>{-}</p></div><p>{+}</p></div><div class=related-posts><h3>{-}</h3><p>{-}</p></div>", [40, 12, 25, 33], [1, 1, 12, 2, 18]),
+    ("<article class='post no-sidebar'><header><h1>{-}</h1><p class=byline>{-}</p></header><div class=body><p>{+}</p><h2>{+}</h2><p>{+}</p><dl><dt>{+}<dd>{+}</dl></div><footer class=post-footer><p>{-}</p></footer></article>", [36, 3, 50, 2, 9], [7, 4, 6]),
+    ("<p>{+}</p><p>{+}</p><div class='ads banner'>{-}</div><p>{+}</p><div id=disqus_thread class=disqus><p>{-}</p><p>{-}</p><p>{-}</p></div>", [55, 20, 41], [9, 30, 22, 45]),
+]
+
+
+def test_op4_by_hand():
+    kept = wrong = missed = 0
+    for page, content, other in BY_HAND:
+        tags = [f"a{i}b " for i in range(99)]
+        for sign, sizes in (("+", content), ("-", other)):
+            for i, n in enumerate(sizes):
+                page = page.replace("{%s}" % sign, f"{'good' if sign == '+' else 'bad'}{tags[i]}{line(n)}", 1)
+        assert "{" not in page
+        found = html_text.trained().text(page)
+        good = sum(f"good{tags[i]}" in found + " " for i in range(len(content)))
+        kept, missed, wrong = kept + good, missed + len(content) - good, wrong + sum(f"bad{tags[i]}" in found + " " for i in range(len(other)))
+    print(f"blocks kept {kept}, missed {missed}, wrongly kept {wrong}")
+    assert kept / (kept + missed) >= 0.95 and kept / (kept + wrong) >= 0.9
+
+
 def test_marginals_are_exact():
     dom = html_text.parse("<article><h1>a title</h1><div class=ad><p>x</p></div><p>some longer text follows here</p></article>")
     model = html_text.trained()
