@@ -22,14 +22,26 @@ HOT_SHARE, KEY_ROWS = 10_000, 10_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker, the same for all operators.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sees to it that batches for workers have BATCH_BYTES at most, unless the session's own bound is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", spark.conf.get(name)) or 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and, but for single rows, about `most` bytes: what a worker turns into Python objects at once.
 
-    Spark bounds the bytes of a batch itself (spark.sql.execution.arrow.maxBytesPerBatch); no setting of the session is changed.
+    What Spark sends at once is bounded by bytes (`bounded`).
     """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * most // max(1, batch.get_total_buffer_size())))
@@ -120,6 +132,7 @@ def arrow(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def masked(docs: DataFrame, *needed: str) -> DataFrame:
     """The columns under the names c0, c1, ..., and `needed` ones again under their own, so that added names cannot clash."""
+    bounded(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *needed)
 
 

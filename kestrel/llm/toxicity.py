@@ -45,7 +45,7 @@ SHORT = 100
 FRAGMENT = 3
 _MARKS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Letters, digits and others have codes below MARK; words stand between the marks MARK and MARK + 1.
-_BASE, _OTHER, MARK = 128, 36, 126
+_BASE, _OTHER, MARK = 96, 36, 94
 _SIZE = _BASE**3
 
 
@@ -146,10 +146,10 @@ def norms(m: np.ndarray) -> np.ndarray:
     return DECAY * np.sqrt((same * (gap @ two @ gap.T)).sum(axis=(1, 2)))
 
 
-def word_scores(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """max(FLOOR, decision value) of each cleaned word."""
+def word_scores(words: list[str], table: np.ndarray, bias: float, small: np.ndarray | None = None) -> np.ndarray:
+    """max(FLOOR, decision value) of each cleaned word; `small` is the table in single precision."""
     out = np.full(len(words), FLOOR)
-    small = table.astype(np.float32)
+    small = table.astype(np.float32) if small is None else small
     by: dict[int, tuple[list[int], list[str]]] = {}
     for i, w in enumerate(words):
         if w:
@@ -213,18 +213,23 @@ def train_words(positive: list[tuple[str, float]], negative: list[tuple[str, flo
 FEATURES = 5
 
 
+#: Words whose scores a worker keeps.
+CACHE = 300_000
+
+
 class Scorer:
     """Features of texts by cached word scores."""
 
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias, self.cache = table, bias, {}
+        self.small = None if table is None else table.astype(np.float32)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         sets = [tokens(t) for t in texts]
-        if len(self.cache) > 1_500_000:
+        if len(self.cache) > CACHE:
             self.cache.clear()
         new = [w for w in set().union(*sets) if w not in self.cache] if sets else []
-        self.cache.update(zip(new, word_scores([clean_word(w) for w in new], self.table, self.bias).tolist()))
+        self.cache.update(zip(new, word_scores([clean_word(w) for w in new], self.table, self.bias, self.small).tolist()))
         out = np.zeros((len(texts), FEATURES))
         get = self.cache.__getitem__
         for i, found in enumerate(sets):
@@ -234,11 +239,23 @@ class Scorer:
         return out
 
 
+def packed(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table that are not zero: what is sent to workers."""
+    at = np.flatnonzero(table).astype(np.int32)
+    return at, table[at]
+
+
+def unpacked(entries: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    table = np.zeros(_SIZE)
+    table[entries[0]] = entries[1]
+    return table
+
+
 class Model:
     """The trained machine; without both classes a constant score."""
 
-    def __init__(self, table=None, bias=0.0, weights=None, constant=0.0):
-        self.table, self.bias, self.weights, self.constant = table, bias, weights, constant
+    def __init__(self, entries=None, bias=0.0, weights=None, constant=0.0):
+        self.entries, self.bias, self.weights, self.constant = entries, bias, weights, constant
 
     def score(self, f: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -273,7 +290,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, flo
     share = {k: min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))}
     some = marks.filter(common.chance(F.col("doc_id"), 3) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about TRAIN_TOXIC + TRAIN_CLEAN ids
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # of a repeated id the least text
+    twice = docs.select("doc_id").join(F.broadcast(some), "doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not twice.isEmpty():  # of a repeated id the least text
+        least = rows.join(F.broadcast(twice), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        rows = rows.join(F.broadcast(twice), "doc_id", "left_anti").unionByName(least)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     negative = {r["word"]: math.log1p(r["x0"]) for r in [*frequent, *other]}
     table, bias = train_words(positive, list(negative.items()))
     for _ in range(2):  # clean words that score highest
-        def hard(batches: Iterator[pa.RecordBatch], table=table, bias=bias) -> Iterator[pa.RecordBatch]:
+        def hard(batches: Iterator[pa.RecordBatch], entries=packed(table), bias=bias) -> Iterator[pa.RecordBatch]:
+            table = unpacked(entries)
             for batch in batches:
                 s = word_scores(batch.column(0).to_pylist(), table, bias)
                 hit = np.flatnonzero(s > FLOOR)
@@ -333,8 +354,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         negative = {**worst, **negative}
         table, bias = train_words(positive, list(negative.items()))
 
+    entries = packed(table)
+
     def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(table, bias)
+        own = Scorer(unpacked(entries), bias)
         for batch in common.slices(batches):
             f = own.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["f", "toxic"])
@@ -343,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows.sort(key=lambda r: (r["toxic"], r["f"]))
     y = np.array([r["toxic"] for r in rows], float)
     weights = logistic(np.array([r["f"] for r in rows]), y, np.where(y == 1, stands[1], stands[0]))
-    return Model(table, bias, weights)
+    return Model(entries, bias, weights)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -355,10 +378,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = T
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(model.table, model.bias)
+        own = Scorer(None if model.entries is None else unpacked(model.entries), model.bias)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            s = model.score(own.features(texts) if model.table is not None else np.zeros((len(texts), FEATURES)))
+            s = model.score(own.features(texts) if model.entries is not None else np.zeros((len(texts), FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
