@@ -135,7 +135,7 @@ SLUG_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(ur
 HTML_SQL = clean_sql(rf"regexp_replace({_h}, '\n\s*', chr(10), 'g')").replace("{{", "{")
 
 SHORT_SQL = rf"(regexp_matches(text, '^\s*\d{{1,3}}[A-Za-z]?\s*[.\x{{2013}}\x{{2014}}\-]{{1,2}}\s*$') OR regexp_matches(text, '^\s*({T.LEGAL})\s+\d+[A-Za-z]?(\([0-9A-Za-z]+\))*\s*$', 'i'))"
-_sp = ", ".join(f"('{a}', '{b}')" for a, b in rules.spellings().items())
+_sp = ", ".join(f"('{a}', '{b}')" for a, b in rules.SPELLINGS.items())
 
 def queries() -> dict:
     """name: (query, SQL or None)."""
