@@ -87,6 +87,8 @@ def hierarchy(pairs: DataFrame, max_levels: int = 4, min_size: int = 1, stop_nod
 
 def materialise(partition: DataFrame, names: DataFrame, stats: DataFrame, min_members: int = 3, sample: int = 6, cut: int = 220) -> DataFrame:
     """COMMUNITY nodes (id, comm, members_count, coherence, summary, sample_entities) of communities of enough members."""
-    rows = partition.join(names, "node").groupBy("comm").agg(F.count("*").alias("members_count"), F.slice(F.array_sort(F.collect_list("canonical")), 1, sample).alias("sample_entities"))
+    named = partition.join(names, "node").select("comm", "canonical")
+    first = named.withColumn("r", F.row_number().over(W.partitionBy("comm").orderBy("canonical"))).filter(F.col("r") <= sample)  # cut before it is collected
+    rows = named.groupBy("comm").agg(F.count("*").alias("members_count")).join(first.groupBy("comm").agg(F.array_sort(F.collect_list("canonical")).alias("sample_entities")), "comm")
     kept = rows.filter(F.col("members_count") >= min_members).join(stats.select("comm", "coherence"), "comm", "left")
     return kept.select(F.concat(F.lit("comm_l0:"), F.col("comm").cast("string")).alias("id"), "comm", "members_count", "coherence", F.substring(F.array_join("sample_entities", ", "), 1, cut).alias("summary"), "sample_entities")

@@ -39,8 +39,10 @@ def cooccurrence(mentions: DataFrame, generic: Column | None = None, evidence: i
     one = sets.select("sid", "n", F.size("n").alias("k"), F.posexplode("n").alias("i", "x"))
     pair = one.select("sid", "k", "x", F.explode(F.slice("n", F.col("i") + 2, F.col("k"))).alias("y"))
     w = F.lit(1.0) / (F.col("k") - 1) * F.when(F.col("x.g"), 0.25).otherwise(1.0) * F.when(F.col("y.g"), 0.25).otherwise(1.0) * F.when(F.col("x.g") & F.col("y.g"), 0.1).otherwise(1.0)
-    grouped = pair.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("count"), F.sum(w).alias("weight"), F.array_sort(F.collect_set("sid")).alias("s"))
-    return grouped.select("a", "b", "count", "weight", F.slice("s", 1, evidence).alias("evidence"))
+    pair = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "sid", w.alias("w"))
+    grouped = pair.groupBy("a", "b").agg(F.count("*").alias("count"), F.sum("w").alias("weight"))
+    first = pair.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("sid"))).filter(F.col("r") <= evidence)  # cut before it is collected
+    return grouped.join(first.groupBy("a", "b").agg(F.array_sort(F.collect_list("sid")).alias("evidence")), ["a", "b"])
 
 
 def entity_graph(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:

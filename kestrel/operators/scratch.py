@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; an own temporary one where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; on a local master an own temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="kestrel-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own
