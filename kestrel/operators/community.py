@@ -35,11 +35,12 @@ def modularity(pairs: DataFrame, partition: DataFrame, penalty: float = 0.08) ->
     return m.crossJoin(n).select(q.alias("q"), "communities", "nodes", (q - penalty * F.col("communities") / F.col("nodes")).alias("score"))  # one row each
 
 
-def detect(pairs: DataFrame, rounds: int = 8) -> DataFrame:
+def detect(pairs: DataFrame, rounds: int = 24) -> DataFrame:
     """(node, comm) by synchronous weighted local moving; in each round half the nodes may move, by a hash.
 
     A node moves to the community with the greatest gain of weight over its expectation;
-    ties go to the least community. Ids are strings or numbers; a community is named by a node.
+    ties go to the least community. It ends when no node gains, or after `rounds`.
+    Ids are strings or numbers; a community is named by a node.
     """
     both = written(pairs_both(pairs), "both")
     deg = written(both.groupBy("node").agg(F.sum("weight").alias("k")), "deg")
@@ -47,17 +48,39 @@ def detect(pairs: DataFrame, rounds: int = 8) -> DataFrame:
     part = deg.select("node", F.col("node").alias("comm"))
     for r in range(rounds):
         size = part.join(deg, "node").groupBy("comm").agg(F.sum("k").alias("tot"))
-        near = both.join(part.select(F.col("node").alias("other"), "comm"), "other").groupBy("node", "comm").agg(F.sum("weight").alias("w"))
         own = part.withColumnRenamed("comm", "own")
+        links = both.filter("other <> node").join(part.select(F.col("node").alias("other"), "comm"), "other").select("node", "comm", "weight")
+        near = links.unionByName(part.withColumn("weight", F.lit(0.0))).groupBy("node", "comm").agg(F.sum("weight").alias("w"))
         gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("comm") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-        best = near.join(size, "comm").join(deg, "node").join(own, "node").withColumn("gain", gain)
-        best = best.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc(F.round("gain", 9)), "comm"))).filter("rank = 1 AND gain > 0")
-        moved = own.join(best.select("node", F.col("comm").alias("to")), "node", "left")
+        scored = near.join(size, "comm").join(deg, "node").join(own, "node").withColumn("gain", F.round(gain, 9))
+        best = scored.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("comm") == F.col("own")), "comm"))).filter("rank = 1")
         may = F.pmod(F.xxhash64(F.col("node"), F.lit(r)), F.lit(2)) == 0
-        part = written(moved.select("node", F.when(may & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("own")).alias("comm")), "part")
+        moved = written(best.select("node", F.when(may, F.col("comm")).otherwise(F.col("own")).alias("comm"), (F.col("comm") != F.col("own")).alias("gains")), "part")
+        part = moved.select("node", "comm")
+        if moved.filter("gains").isEmpty():
+            break
     return part
 
 
+def multilevel(pairs: DataFrame, levels: int = 8) -> DataFrame:
+    """(node, comm) by repeated detection on the graph of communities, whose inner weights stay as loops."""
+    out, now = None, pairs
+    for _ in range(levels):
+        part = detect(now)
+        out = part if out is None else written(out.join(part.select(F.col("node").alias("comm"), F.col("comm").alias("to")), "comm").select("node", F.col("to").alias("comm")), "merged")
+        if part.filter("node <> comm").isEmpty():
+            break
+        now = written(collapse(now, part).select(F.col("ca").alias("a"), F.col("cb").alias("b"), "weight"), "level")
+    return out
+
+
+def choose(pairs: DataFrame, penalty: float = 0.08) -> DataFrame:
+    """The better by score of one level of local moving and of all levels; the first of equal ones."""
+    found = [detect(pairs), multilevel(pairs)]
+    scores = [modularity(pairs, p, penalty).first()["score"] or 0.0 for p in found]
+    return found[scores.index(max(scores))]
+
+
 def reassign_small(pairs: DataFrame, partition: DataFrame, min_size: int = 5) -> DataFrame:
     """Nodes of small communities go to the community of their heaviest neighbour in another one, all at once."""
     small = partition.groupBy("comm").agg(F.count("*").alias("n")).filter(F.col("n") < min_size).select("comm")

@@ -56,12 +56,47 @@ def weighted_degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.round(F.sum("weight"), 9).alias("degree"))
 
 
+def quantile(rows: DataFrame, column: str, share: float, few: int = 10_000, bins: int = 1000) -> float | None:
+    """The exact, interpolated quantile of a double column; null without values.
+
+    Counts of equal bins narrow the range that holds the place until at most `few` distinct values are in it,
+    so that neither a task nor the driver holds more.
+    """
+    v = rows.select(F.col(column).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    s = v.agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not s["n"]:
+        return None
+    place = (s["n"] - 1) * share
+
+    def at(k: int) -> float:
+        lo, hi, before = s["lo"], s["hi"], 0
+        while lo < hi:
+            inside = v.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            step = (hi - lo) / bins
+            cell = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1)) if step > 0 else F.lit(0)
+            own = inside.groupBy(cell.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            for r in sorted(own.collect()):  # at most `bins` rows
+                if before + r["n"] > k:
+                    break
+                before += r["n"]
+            lo, hi = r["lo"], r["hi"]
+            if r["d"] <= few:
+                for x in sorted(inside.filter((F.col("v") >= lo) & (F.col("v") <= hi)).collect()):
+                    if before + x["n"] > k:
+                        return x["v"]
+                    before += x["n"]
+        return lo
+
+    low = at(int(place))
+    return low if place == int(place) else low + (at(int(place) + 1) - low) * (place - int(place))
+
+
 def hub_downweight(pairs: DataFrame, pctl: float = 0.98, penalty: float = 0.2) -> DataFrame:
     """The pairs with `penalty` on those that touch a node at or over the quantile of positive weighted degrees."""
     pctl, penalty = min(max(pctl, 0.5), 0.999), min(max(penalty, 0.01), 1.0)
-    deg = weighted_degree(pairs)
-    limit = deg.filter("degree > 0").agg(F.round(F.percentile("degree", F.lit(pctl)), 9).alias("limit"))
-    hubs = deg.join(F.broadcast(limit), F.col("degree") >= F.col("limit")).select("node")  # one row
+    deg = written(weighted_degree(pairs), "degrees")
+    limit = quantile(deg.filter("degree > 0"), "degree", pctl)
+    hubs = deg.filter(F.col("degree") >= F.round(F.lit(limit).cast("double"), 9)).select("node")
     flag = lambda c: hubs.select(F.col("node").alias(c), F.lit(True).alias(f"hub_{c}"))
     marked = pairs.join(flag("a"), "a", "left").join(flag("b"), "b", "left")
     hub = F.coalesce("hub_a", F.lit(False)) | F.coalesce("hub_b", F.lit(False))

@@ -112,28 +112,35 @@ def rank(cands: DataFrame, least: float = 0.15) -> DataFrame:
 def dedup_ranked(ranked: DataFrame, top_k: int = 40, words: float = 0.9, cosine: float = 0.92) -> DataFrame:
     """Greedy selection by place: no text too like a kept one by words or by vector; some types are exempt.
 
-    Reads (query_id, id, text, item_type, hybrid, place, embedding): the candidates of one query.
+    Reads (query_id, id, text, item_type, hybrid, place, embedding). Rows come by query and place, and a task holds
+    one batch and at most `top_k` kept texts, however many candidates a query has. Texts without words repeat none.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "embedding")
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        kept, sets, vecs = [], [], []
-        for i, r in enumerate(g.sort_values("place").itertuples()):
-            s, v = set((r.text or "").lower().split()), None if r.embedding is None else np.asarray(r.embedding, float)
-            if r.item_type not in DISTINCT_FREE:
-                if any(len(s & k) >= words * max(1, len(s | k)) for k in sets):
+    cols = [c for c in ranked.columns if c != "embedding"]
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, sets, vecs, n = None, [], [], 0
+        for b in batches:
+            kept = []
+            for i, (of, text, kind, e) in enumerate(zip(b["query_id"], b["text"], b["item_type"], b["embedding"])):
+                if n == 0 or of != query:
+                    query, sets, vecs, n = of, [], [], 0
+                if n >= top_k:
                     continue
-                if v is not None and vecs and max(float(v @ k) / ((np.linalg.norm(v) + 1e-9) * (np.linalg.norm(k) + 1e-9)) for k in vecs) >= cosine:
-                    continue
-            kept.append(r.Index)
-            sets.append(s)
-            if v is not None:
-                vecs.append(v)
-            if len(kept) >= top_k:
-                break
-        return g.loc[kept].drop(columns=["embedding"])
-
-    return ranked.groupBy("query_id").applyInPandas(pick, schema)
+                s, v = set((text or "").lower().split()), None if e is None else np.asarray(e, float)
+                if kind not in DISTINCT_FREE:
+                    if s and any(k and len(s & k) >= words * len(s | k) for k in sets):
+                        continue
+                    if v is not None and vecs and max(float(v @ k) / ((np.linalg.norm(v) + 1e-9) * (np.linalg.norm(k) + 1e-9)) for k in vecs) >= cosine:
+                        continue
+                kept.append(i)
+                n += 1
+                sets.append(s)
+                if v is not None:
+                    vecs.append(v)
+            yield b.iloc[kept][cols]
+
+    ordered = ranked.repartition(F.col("query_id")).sortWithinPartitions("query_id", "place")
+    return ordered.mapInPandas(pick, ranked.select(cols).schema)
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -194,7 +201,8 @@ def search(queries: DataFrame, docs: DataFrame, top_n: int = 20, top_k: int = 40
     Reads (query_id, q) and (doc_id, text); gives (query_id, id, text, item_type, sem, graph, hybrid, place).
     """
     items = build_index(segment.chunks(docs, size, overlap).select(F.col("chunk_id").alias("id"), "text", F.lit("CHUNK").alias("item_type")))
-    emb = vectors.hash_embed(items.select("id", "text"))
+    items = written(items, "items")
+    emb = written(vectors.hash_embed(items.select("id", "text")), "embeddings")
     asked = vectors.hash_embed(queries.select(F.col("query_id").alias("id"), F.col("q").alias("text"))).withColumnRenamed("id", "query_id")
     near = vectors.cosine_top(emb, asked, top_n).select("query_id", "id", F.col("score").alias("sem"))
     forced = lexical(cited(queries), items)

@@ -61,7 +61,7 @@ def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
                     v = np.bincount(at[:, 0], at[:, 1], dim)
                     out.append((v / (np.linalg.norm(v) + 1e-9)).astype(np.float32))
                     ids.append(key)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "embedding": out})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "embedding": pd.Series(out, dtype=object)})
 
     return rows.select("id", "text").mapInPandas(run, f"id {kind}, embedding array<float>")
 
@@ -69,31 +69,38 @@ def hash_embed(rows: DataFrame, dim: int = DIM) -> DataFrame:
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of (id, embedding) for each (query_id, embedding).
 
-    Queries go in blocks of about `block`; each task keeps its own k best, then they meet by query.
+    Queries go in blocks of about `block`, each a pass over the vectors: give a written table.
+    A task keeps its own k best of all its rows, then they meet by query. Rows without an embedding take no part.
     Scores are rounded to five digits before ranking; ties go to the smaller id.
     """
+    queries, vectors = (x.filter("embedding IS NOT NULL") for x in (queries, vectors))
     blocks = max(1, -(-queries.count() // block))
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    out = None
+    out = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
     for b in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
         ids = np.array([r["query_id"] for r in rows], object)
         q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
         q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+            score, best = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                s = np.round(q @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).T, 5)
-                own = batch["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": own[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-
-        part = vectors.select("id", "embedding").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-        out = part if out is None else out.unionByName(part)
+                for lo in range(0, len(batch) if len(ids) else 0, 2000):
+                    some = batch.iloc[lo : lo + 2000].sort_values("id")
+                    own, n = some["id"].to_numpy(), len(some)
+                    x = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+                    s = np.rint(q @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).T * 1e5).astype(np.int64)
+                    at = np.argpartition(-(s * n + np.arange(n)[::-1]), min(k, n) - 1, axis=1)[:, :k]  # no two keys are equal
+                    score = np.hstack([score, np.take_along_axis(s, at, 1) / 1e5])
+                    best = np.hstack([best, own[at].astype(object)])
+                    order = np.lexsort((best, -score), axis=1)[:, :k]
+                    score, best = np.take_along_axis(score, order, 1), np.take_along_axis(best, order, 1)
+            yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "id": best.ravel(), "score": score.ravel()})
+
+        out = out.unionByName(vectors.select("id", "embedding").mapInPandas(run, out.schema))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import rules
 from kestrel.functions import text as T
 from kestrel.operators import graph, relations, retrieve, segment
+from kestrel.operators.scratch import written
 
 
 def mentions(sentences: DataFrame) -> DataFrame:
@@ -20,10 +21,15 @@ def mentions(sentences: DataFrame) -> DataFrame:
     return every.join(sentences.select("sent_id", "doc_id", "idx"), "sent_id").withColumn("node", T.node_id(F.col("canonical")))
 
 
-def build(docs: DataFrame, min_chars: int = 30) -> tuple[DataFrame, DataFrame]:
+def parts(docs: DataFrame, min_chars: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(sentences, mentions) of the documents, each written once, as every branch of the plan reads them."""
+    sents = written(segment.sentences(docs, min_chars), "sentences")
+    return sents, written(mentions(sents), "mentions")
+
+
+def build(docs: DataFrame, made: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): nodes (id, label, canonical, type), edges (edge_id, src, dst, type, weight, count)."""
-    sents = segment.sentences(docs, min_chars)
-    found = mentions(sents)
+    sents, found = made or parts(docs)
     d = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("DOCUMENT").alias("label"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("string").alias("type"))
     s = sents.select(F.col("sent_id").alias("id"), F.lit("SENTENCE").alias("label"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("string").alias("type"))
     e = found.groupBy(F.col("node").alias("id")).agg(F.lit("ENTITY").alias("label"), F.min("canonical").alias("canonical"), F.min_by("label", F.struct("sent_id", "label")).alias("type"))

@@ -8,7 +8,7 @@ from kestrel.functions import parsing
 from kestrel.operators import graph as graph_ops
 from kestrel.operators import relations, retrieve, vectors
 from kestrel.operators.scratch import folder
-from kestrel.plans import build
+from kestrel.plans import build, retrieval
 from kestrel.plans.base import rows, table
 from kestrel.plans.graph_queries import tree_edges, tree_nodes
 from kestrel.sources import io
@@ -22,6 +22,13 @@ def graph(spark, sf):
     return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")))
 
 
+def hybrid_search(spark, sf):
+    """The benchmark's texts as questions to the graph and index of all documents."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    found = retrieval.search(asked, retrieval.corpus(table(spark, sf, "documents").select("doc_id", "text")))
+    return found.select("query_id", "id", "item_type", "sem", "graph", "hybrid", "place")
+
+
 def expansion(spark, sf):
     nodes, edges = tree_nodes(spark, sf), tree_edges(spark, sf)
     items = nodes.select("id", F.col("label").alias("item_type"))
@@ -128,6 +135,7 @@ def queries() -> dict:
     """name: (query, SQL or None)."""
     return {
         "build_graph": (graph, None),
+        "ret1_hybrid_search": (hybrid_search, None),
         "gra5_expand": (expansion, EXPAND_SQL),
         "gra18_structural_answer": (structural, STRUCT_SQL),
         "jon5_merge_catalog": (merged, MERGED_SQL),
