@@ -5,10 +5,12 @@ from __future__ import annotations
 import difflib
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.functions import rules
 from kestrel.functions import text as T
+from kestrel.operators.scratch import written
 
 REL = "struct<head:string,relation:string,tail:string,confidence:double>"
 # What statutes, exclusions and obligations look like.
@@ -143,15 +145,67 @@ def match_ends(names: DataFrame, catalog: DataFrame, cutoff: float = 0.92) -> Da
     return hit.select("name", "canonical", "how").unionByName(best.select("name", "canonical", "how")).unionByName(new)
 
 
-def merge_catalog(catalog: DataFrame) -> DataFrame:
-    """(label, canonical, ord, aliases): entries (ord, canonical, label) of a label with the same direction of hash embedding as one, the first as base.
+def close_bags(bags: DataFrame, loose: float = 0.99, strict: float = 0.985, longest: int = 32) -> DataFrame:
+    """(lo, hi) of the pairs of (ord, label, words, strict) with a label whose word counts have a cosine of the
+    threshold, that of strict names where either is one; words are sorted and no two bags of a label are equal.
 
-    Legal references merge only if equal. At cosine thresholds of 0.985 and names of up to 32 words,
-    embeddings that add a cell per word agree exactly if the bags of words do, so no pairs are compared.
+    Unequal bags of at most `longest` words without repeats stay below sqrt(32 / 33) < 0.985, so that a pair has a longer
+    bag or one with a repeat. Of that one the rarest words are taken until the others are shorter than the cosine
+    allows: the other bag of a close pair has one of them. The candidates so found are all close pairs.
+    """
+    count = lambda words, x: F.size(F.filter(words, lambda y: y == x)).cast("double")
+    dot = lambda a, b: F.aggregate(a, F.lit(0.0), lambda n, x: n + count(b, x))
+    some = bags.filter((F.size("words") > longest) | (F.size(F.array_distinct("words")) < F.size("words")))
+    words = lambda df: df.select("ord", "label", F.explode(F.array_distinct("words")).alias("w"))
+    often = words(bags).groupBy("label", "w").agg(F.count("*").alias("df"))
+    own = some.select("ord", "label", "words", F.explode(F.array_distinct("words")).alias("w")).withColumn("sq", count(F.col("words"), F.col("w")) ** 2)
+    own = own.drop("words").join(often, ["label", "w"])
+    w = W.partitionBy("ord").orderBy("df", "w")
+    rest = F.sum("sq").over(W.partitionBy("ord")) - F.sum("sq").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("sq")
+    first = own.withColumn("rest", rest).withColumn("all", F.sum("sq").over(W.partitionBy("ord"))).filter(F.col("rest") >= strict**2 * F.col("all") - 1e-9)
+    pair = first.select(F.col("ord").alias("x"), "label", "w").join(words(bags).withColumnRenamed("ord", "y"), ["label", "w"]).filter("x <> y")
+    pair = pair.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+    of = lambda c, n: bags.select(F.col("ord").alias(c), F.col("words").alias(f"w{n}"), F.col("strict").alias(f"s{n}"))
+    j = pair.join(of("lo", 1), "lo").join(of("hi", 2), "hi")
+    cosine = dot(F.col("w1"), F.col("w2")) / F.sqrt(dot(F.col("w1"), F.col("w1")) * dot(F.col("w2"), F.col("w2")))
+    return j.filter(cosine >= F.when(F.col("s1") | F.col("s2"), strict).otherwise(loose) - 1e-12).select("lo", "hi")
+
+
+def first_bases(links: DataFrame) -> DataFrame:
+    """(ord, base) of the rows that a base before them takes in, in order: a row is a base unless linked to an earlier one."""
+    links = written(links, "links")
+    open_, bases = links.select(F.col("lo").alias("ord")).union(links.select("hi")).distinct(), None
+    while True:
+        live = links.join(open_.withColumnRenamed("ord", "lo"), "lo").join(open_.withColumnRenamed("ord", "hi"), "hi")
+        new = written(open_.join(live.select(F.col("hi").alias("ord")), "ord", "left_anti"), "bases")
+        if new.isEmpty():
+            break
+        bases = new if bases is None else bases.unionByName(new)
+        taken = links.join(new.withColumnRenamed("ord", "lo"), "lo").select(F.col("hi").alias("ord"))
+        open_ = written(open_.join(new, "ord", "left_anti").join(taken, "ord", "left_anti"), "open")
+    if bases is None:
+        return links.select(F.col("hi").alias("ord"), F.col("lo").alias("base"))
+    near = links.join(bases.withColumnRenamed("ord", "lo"), "lo").groupBy(F.col("hi").alias("ord")).agg(F.min("lo").alias("base"))
+    return near.join(bases, "ord", "left_anti")
+
+
+def merge_catalog(catalog: DataFrame, loose: float = 0.99, strict: float = 0.985) -> DataFrame:
+    """(label, canonical, ord, aliases): entries (ord, canonical, label) in order, each merged into the first base of its
+    label with word counts of a cosine of `loose`, or `strict` if either has a digit or at most five characters.
+
+    Not transitive: an entry joins a base, never another joined entry. Legal references merge only if equal. Orders are
+    distinct; names without words merge with none; entries without a name are left out.
     """
     norm = T.normalize_surface(F.col("canonical"))
-    key = F.when(T.is_legal_id(F.col("canonical")), F.array(norm)).otherwise(F.array_sort(F.split(norm, " ")))
-    return catalog.groupBy("label", key.alias("key")).agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"), F.array_sort(F.collect_set("canonical")).alias("aliases")).drop("key")
+    legal = T.is_legal_id(F.col("canonical"))
+    words = F.when(legal, F.array(norm)).otherwise(F.array_sort(F.split(norm, " ")))
+    key = F.when(norm == "", F.array(F.concat(F.lit(" "), F.col("ord").cast("string")))).otherwise(words)
+    strictly = norm.rlike("[0-9]") | (F.length(norm) <= 5)
+    rows = catalog.filter("canonical IS NOT NULL").select("ord", "canonical", "label", key.alias("words"), (legal | (norm == "")).alias("alone"), strictly.alias("strict"))
+    same = written(rows.groupBy("label", "words", "alone", "strict").agg(F.min("ord").alias("ord"), F.min_by("canonical", "ord").alias("canonical"), F.collect_set("canonical").alias("names")), "names")
+    taken = first_bases(close_bags(same.filter("NOT alone").select("ord", "label", "words", "strict"), loose, strict))
+    to = same.join(taken, "ord", "left").select("label", "canonical", "ord", "names", F.coalesce("base", "ord").alias("base"))
+    return to.groupBy("label", "base").agg(F.min_by("canonical", "ord").alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("aliases")).withColumnRenamed("base", "ord")
 
 
 def evidence_sentence(relations: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Retrieval over the whole graph, communities and quantiles against plain versions."""
 
+import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.operators import community, graph, retrieve, vectors
+from kestrel.operators import community, graph, relations, retrieve, vectors
 from kestrel.plans import build_queries, retrieval
 from kestrel.functions import rules
 
@@ -153,3 +155,40 @@ def test_nearest_against_all_pairs(spark):
     s = np.round(unit @ unit.T, 5)
     for i in range(20):
         assert [got[f"v{i:03}"][k + 1] for k in range(7)] == [f"v{j:03}" for j in sorted(range(500), key=lambda j: (-s[i, j], j))[:7]]
+
+
+def test_merged_catalog_in_order(spark):
+    rng = random.Random(9)
+    names = []
+    for _ in range(40):
+        base = [rng.choice("abcdefghij") * rng.choice([1, 2, 7]) for _ in range(rng.choice([2, 3, 40, 60, 80]))]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randint(0, 3)):
+                x[rng.randrange(len(x))] = rng.choice(["zz", "a", "b2"])
+            rng.shuffle(x)
+            names.append(" ".join(x))
+    names += ["Article 3", "article 3", "Article 13", "", " "]
+    rng.shuffle(names)
+    rows = [(k, x, "AB"[k % 2]) for k, x in enumerate(names)]
+    got = {r.ord: (r.label, r.canonical, tuple(r.aliases)) for r in relations.merge_catalog(spark.createDataFrame(rows + [(999, None, "A")], "ord int, canonical string, label string")).collect()}
+    want, used = {}, set()
+    bags = [collections.Counter(x.lower().split()) for x in names]
+    size = [sum(n * n for n in b.values()) for b in bags]
+    firm = [bool(re.search("[0-9]", x)) or len(" ".join(x.split())) <= 5 for x in names]
+    for i, x in enumerate(names):
+        if i in used:
+            continue
+        merged = {x}
+        for j in range(i + 1, len(names)):
+            if j in used or i % 2 != j % 2 or not bags[i] or not bags[j]:
+                continue
+            if "article" in bags[i] or "article" in bags[j]:
+                close = bags[i] == bags[j]
+            else:
+                close = sum(n * bags[j][w] for w, n in bags[i].items()) / math.sqrt(size[i] * size[j]) >= (0.985 if firm[i] or firm[j] else 0.99) - 1e-12
+            if close:
+                used.add(j)
+                merged.add(names[j])
+        want[i] = ("AB"[i % 2], x, tuple(sorted(merged)))
+    assert got == want and sum(len(v[2]) > 1 for v in want.values()) > 10
